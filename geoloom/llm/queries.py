@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import chat_format, decontaminate, exact_dedup, language_id, packing, secret_scan, url_filter
+from geoloom.llm import chat_format, decontaminate, exact_dedup, language_id, packing, secret_scan, substring_dedup, url_filter
 
 #: The rules that op8 is asked for, as (verdict, host, path).
 URL_RULES = [
@@ -23,6 +23,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), f AS (
+  SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS first FROM x) WHERE first < doc_id
+), r AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(range(i, i + 13)) AS k FROM f)),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+g AS (
+  SELECT u.doc_id, count(r.k) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY u.k) FILTER (r.k IS NULL), '')) AS kept
+  FROM u LEFT JOIN r ON u.doc_id = r.doc_id AND u.k = r.k GROUP BY u.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept, sha256('')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -143,6 +166,7 @@ FROM d GROUP BY conv_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_decontamination": op4_decontamination,
         "op6_secret_scan": op6_secret_scan,
@@ -154,4 +178,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_chat_format": OP10_SQL}
