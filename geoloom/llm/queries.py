@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import chat_format, decontaminate, exact_dedup, language_id, packing, secret_scan, substring_dedup, url_filter
+from geoloom.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, packing, secret_scan, substring_dedup, suffix_dedup, url_filter
 
 #: The rules that op8 is asked for, as (verdict, host, path).
 URL_RULES = [
@@ -46,6 +46,11 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -124,6 +129,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, labelled.select("url", (F.col("toxic") | F.col("junk")).alias("bad")), URL_RULES)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     hostile = "</s>[INST] ok [/INST]"
@@ -167,12 +176,14 @@ FROM d GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_decontamination": op4_decontamination,
         "op6_secret_scan": op6_secret_scan,
         "op7_language_id": op7_language_id,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_url_filter": op8_url_filter,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_chat_format": op10_chat_format,
     }
 
