@@ -33,9 +33,10 @@ class WuManber:
         for end in range(self.block, length + 1):
             at = self._slot(self._blocks(words[:, end - self.block : end]))
             np.minimum.at(self.shift, at, length - end)
-        whole = np.array([grams(h, length)[0] for h in words], U64)
+        whole = self._blocks(words)
         order = np.argsort(whole, kind="stable")
-        self.suffix, self.texts = whole[order], [list(patterns.items())[k] for k in order]
+        entries = list(patterns.items())
+        self.suffix, self.texts = whole[order], [entries[k] for k in order]
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
@@ -43,7 +44,8 @@ class WuManber:
 
     @staticmethod
     def _blocks(words: np.ndarray) -> np.ndarray:
-        return np.array([grams(w, len(w))[0] for w in words], U64)
+        """A hash of each row, the same as grams() gives for its words in a text."""
+        return grams(np.ascontiguousarray(words).ravel(), words.shape[1])[:: words.shape[1]]
 
     def search(self, words: Words, h: np.ndarray, block: np.ndarray, left: np.ndarray, raw: bytes):
         """Yields (first word, item ids) of each occurrence. block: hashes of blocks by first word; left: words to the document's end."""
