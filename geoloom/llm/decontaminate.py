@@ -90,11 +90,30 @@ def build_tables(items: list[tuple], window: int = WINDOW_WORDS) -> list[WuManbe
     return [WuManber(length, p, h) for length, (p, h) in sorted(by_length.items())]
 
 
-def _scanner(blocks: list, window: int):
+def _report(part: pa.RecordBatch, w: Words, hit: np.ndarray, items: list[set]) -> pa.RecordBatch:
+    spans: list[list] = [[] for _ in range(w.n)]
+    s, e = runs(hit)
+    for a, b in zip(s.tolist(), e.tolist()):
+        while a < b:  # a run goes on into the next document only by chance
+            d = int(w.doc[a])
+            stop = min(b, int(w.first[d + 1]))
+            spans[d].append({"start": a - int(w.first[d]), "stop": stop - int(w.first[d])})
+            a = stop
+    return pa.RecordBatch.from_arrays(
+        [part.column(0), pa.array(np.diff(w.first)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))],
+        ["id", "n_words", "spans", "items"],
+    )
+
+
+def _clean_only(part: pa.RecordBatch, w: Words, hit: np.ndarray, items: list[set]) -> pa.RecordBatch:
+    return part.filter(pa.array(np.bincount(w.doc[hit], minlength=w.n) == 0))
+
+
+def _scanner(blocks: list, window: int, text_at: int = 1, emit=_report):
     def run(batches):
         held = build_tables(blocks[0].value, window) if len(blocks) == 1 else None
         for batch in batches:
-            data, starts, ends, _ = text_arrays(batch.column(1))
+            data, starts, ends, _ = text_arrays(batch.column(text_at))
             for i, j in pieces(starts, ends, PIECE_BYTES):
                 buf, offs = joined(data, starts, ends, i, j)
                 w = Words(buf, offs, ALNUM_LOWER, lower=True)
@@ -110,24 +129,7 @@ def _scanner(blocks: list, window: int):
                             edge[first] += 1
                             edge[first + table.length] -= 1
                             items[w.doc[first]] |= found
-                hit = np.cumsum(edge)[:-1] > 0
-                spans: list[list] = [[] for _ in range(j - i)]
-                s, e = runs(hit)
-                for a, b in zip(s.tolist(), e.tolist()):
-                    while a < b:  # a run goes on into the next document only by chance
-                        d = int(w.doc[a])
-                        stop = min(b, int(w.first[d + 1]))
-                        spans[d].append({"start": a - int(w.first[d]), "stop": stop - int(w.first[d])})
-                        a = stop
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, j - i),
-                        pa.array(np.diff(w.first)),
-                        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
-                    ],
-                    ["id", "n_words", "spans", "items"],
-                )
+                yield emit(batch.slice(i, j - i), w, np.cumsum(edge)[:-1] > 0, items)
 
     return run
 
@@ -156,3 +158,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)]
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     return rows.mapInArrow(_scanner(blocks, window), "id long, n_words long, spans array<struct<start:bigint,stop:bigint>>, items array<bigint>").withColumnRenamed("id", id_col)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
+    """The rows of docs, all columns, without any occurrence of a benchmark window."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, item_col, item_text_col)]
+    return docs.mapInArrow(_scanner(blocks, window, docs.columns.index(text_col), _clean_only), docs.schema)

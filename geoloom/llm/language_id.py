@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoloom.llm.kernels import U64, Words, joined, mix, pieces, text_arrays
 from geoloom.session import ship_package
@@ -24,6 +25,7 @@ SEQUENCE_WORDS, EPOCHS, BATCH = 32, 6, 128
 GRAM_BITS, WORD_BITS = 16, 16
 PIECE_BYTES = 2 << 20
 HELD_BYTES = 12 << 20
+LABEL, SCORE = "_geoloom_lang", "_geoloom_score"
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[0x61:0x7B] = _LETTERS[0x41:0x5B] = _LETTERS[0x80:] = True
@@ -172,20 +174,25 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(text_col, 1, chars).alias("text")
     )
-    w = Window.partitionBy("lang").orderBy("h", "text")
-    return rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang).orderBy("lang", "h", "text").select("text", "lang").collect()
+    # First within parts of a language, so that no task gets all documents of a frequent one.
+    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        w = Window.partitionBy(*keys).orderBy("h", "text")
+        rows = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang).drop("k")
+    return rows.orderBy("lang", "h", "text").select("text", "lang").collect()
 
 
 def _has_letters(raw: bytes) -> bool:
     return any(c.isalpha() for c in raw.decode("utf-8", "replace"))
 
 
-def _predict(shared):
+def _predict(shared, text_at: int, keep: list[int]):
+    """Adds label and score to the columns to keep."""
+
     def run(batches):
         model: Model = shared.value
         n = len(model.labels)
         for batch in batches:
-            data, starts, ends, valid = text_arrays(batch.column(1))
+            data, starts, ends, valid = text_arrays(batch.column(text_at))
             for i, j in pieces(starts, ends, HELD_BYTES):
                 parts, counts = [], []
                 for a, b in pieces(starts[i:j], ends[i:j], PIECE_BYTES):
@@ -208,7 +215,8 @@ def _predict(shared):
                         known[d] = False
                 lang = [model.labels[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist())]
                 score = np.where(known, np.minimum(share[np.arange(j - i), best], 1.0), 0.0)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(batch.columns)) if k != 1), pa.array(lang, pa.string()), pa.array(score)], [*(c for k, c in enumerate(batch.schema.names) if k != 1), "lang_pred", "score"])
+                cols = [batch.column(k).slice(i, j - i) for k in keep]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score)], [*(batch.schema.names[k] for k in keep), LABEL, SCORE])
 
     return run
 
@@ -236,4 +244,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predict(spark.sparkContext.broadcast(model)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    found = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), 1, [0]), f"id long, {LABEL} string, {SCORE} double")
+    return found.toDF(id_col, "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language is known with at least that score."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    cols = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField(LABEL, T.StringType()), T.StructField(SCORE, T.DoubleType())])
+    found = docs.mapInArrow(_predict(spark.sparkContext.broadcast(model), cols.index(text_col), list(range(len(cols)))), schema)
+    return found.where((F.col(LABEL) != "und") & (F.col(SCORE) >= least)).select(*cols)
