@@ -78,7 +78,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    ms = F.floor(F.unix_micros("ts") / 1000)
+    ms = F.expr("floor(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 1000)")  # whatever the session's time zone
     return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", ms.alias("ms"), (ms - F.lag(ms).over(w)).alias("dt"), F.row_number().over(w).alias("seq"))
 
 
