@@ -52,7 +52,11 @@ def chunks_of(table_or_batch):
         yield Chunk(row[0].as_py(), row[1].as_py(), row[2].as_py(), row[3].as_py(), row[4].as_buffer())
 
 
-def _lay_out(batches):
+def _lay_out(limit: int):
+    return lambda batches: _chunks(batches, limit)
+
+
+def _chunks(batches, limit: int):
     from pyspark import TaskContext
 
     base, count = TaskContext.get().partitionId() << 24, 0
@@ -69,7 +73,7 @@ def _lay_out(batches):
     for batch in batches:
         data, starts, ends, _ = text_arrays(batch.column(1))
         for key, a, b in zip(batch.column(0).to_pylist(), starts.tolist(), ends.tolist()):
-            if texts and (size + b - a > CHUNK_BYTES or len(texts) >= CHUNK_DOCS):
+            if texts and (size + b - a > limit or len(texts) >= CHUNK_DOCS):
                 yield emit()
             ids.append(key or 0)
             known.append(key is not None)
@@ -79,10 +83,10 @@ def _lay_out(batches):
         yield emit()
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, tag: str) -> DataFrame:
+def chunked(docs: DataFrame, id_col: str, text_col: str, tag: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """The chunk table of docs, written to the shared folder; a null text is an empty one."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return materialize(rows.mapInArrow(_lay_out, CHUNK_SCHEMA), tag)
+    return materialize(rows.mapInArrow(_lay_out(limit), CHUNK_SCHEMA), tag)
 
 
 def bucket_bits(chunks: DataFrame) -> int:

@@ -25,8 +25,10 @@ from geoloom.session import discard, materialize, ship_package
 WINDOW = 200
 #: Bytes of an anchor's gram.
 GRAM = 96
+#: Text of a chunk; a byte needs more memory here than elsewhere.
+CHUNK_BYTES = 2 << 20
 #: Windows handled at once.
-PIECE = 1 << 20
+PIECE = 1 << 16
 #: Period of the difference cover, and a cover of it: every residue is a difference of two of these (fixed values).
 PERIOD = 64
 COVER = (0, 1, 3, 13, 17, 25, 30, 38, 49, 58)
@@ -77,11 +79,11 @@ class Anchors:
 
     def __init__(self, chunk: Chunk, window: int, gram: int):
         out = []
-        lens = np.diff(chunk.offs)
-        left = np.repeat(chunk.offs[1:], lens) - np.arange(int(chunk.offs[-1]))  # bytes to the document's end
         for a, b in _pieces(chunk.offs, window):
             buf = chunk.buf[a : b + window - 1]
-            valid = np.flatnonzero(left[a:b] >= window)
+            i, j = np.searchsorted(chunk.offs[1:], a, "right"), np.searchsorted(chunk.offs[1:], b - 1, "right")
+            ends = np.repeat(chunk.offs[1 + i : 2 + j], np.diff(np.clip(chunk.offs[i : 2 + j], a, b)))
+            valid = np.flatnonzero(ends - np.arange(a, b) >= window)
             if not len(valid):
                 continue
             hasher = _Hasher(buf)
@@ -91,7 +93,8 @@ class Anchors:
             count = np.diff(np.append(begin, len(p)))
             first, p = valid[begin], p[begin]
             context = mix(hasher(first, first + count - 1 + window) + count.astype(U64) * U64(0xD6E8FEB86659FD93) + (p - first).astype(U64) * U64(0xA0761D6478BD642F))
-            out.append((g[p], context, first + a, count, p - first))
+            # Minima are small numbers: mixed again, or they would all fall into the first buckets.
+            out.append((mix(g[p] + U64(0x9E3779B97F4A7C15)), context, first + a, count, p - first))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, U64)] * 2 + [np.zeros(0, np.int64)] * 3
         order = np.lexsort((cols[1], cols[0]))
         self.gram, self.context, self.first, self.count, self.before = (c[order] for c in cols)
@@ -343,7 +346,7 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     ship_package(spark)
-    chunks = chunked(docs, id_col, text_col, "repeats")
+    chunks = chunked(docs, id_col, text_col, "repeats", CHUNK_BYTES)
     bits = bucket_bits(chunks)
     asked = chunks.mapInArrow(_ask(bits, window, gram), "bucket int, chunk long, keys binary, contexts binary, many binary")
     states = materialize(asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, states binary"), "ranks")
