@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.exchange import Chunk, bucket_bits, chunked, chunks_of, pack_chunk, planes, split, spread, unplanes
-from geoloom.llm.kernels import NOT_SPACE, U64, Words, cover, grams, leftmost_minima, mix, runs
+from geoloom.llm.kernels import NOT_SPACE, U64, Words, cover, distinct, grams, leftmost_minima, mix, runs
 from geoloom.session import discard, materialize, ship_package
 
 WINDOW = 13
@@ -48,8 +48,9 @@ class _View:
             g = mix(grams(self.h, gram))
             where = leftmost_minima(g, window - gram + 1)
             self.anchor_of = where[self.starts] if len(self.starts) else np.zeros(0, np.int64)
-            self.anchors = np.unique(self.anchor_of)
-            self.gram = g[self.anchors] if len(self.anchors) else np.zeros(0, U64)
+            self.anchors = distinct(self.anchor_of)
+            # Minima are small numbers: mixed again, or they would all fall into the first buckets.
+            self.gram = mix(g[self.anchors] + U64(0x9E3779B97F4A7C15)) if len(self.anchors) else np.zeros(0, U64)
 
     def windows(self, at: np.ndarray, window: int) -> np.ndarray:
         """Hashes of the windows that start there."""
@@ -153,8 +154,8 @@ def parse(source: np.ndarray, known: np.ndarray, window: int) -> list[tuple[int,
     that no factor covers are literals. Windows on a factor's boundary start factors of their own
     where they reach on.
     """
-    same = known.copy()
-    same[1:] &= known[:-1] & (source[1:] == source[:-1])
+    same = np.zeros(len(known), bool)
+    same[1:] = known[1:] & known[:-1] & (source[1:] == source[:-1])
     begins = np.flatnonzero(known & ~same)
     stops = np.concatenate([begins[1:], [len(known)]])
     factors, reach = [], 0

@@ -57,7 +57,7 @@ def tokens(url: Column) -> Column:
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """(antecedent, confidence, support, lift) of rules for bad pages; labelled has tokens and bad (boolean)."""
     baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
-    min_support = max(min_support, min(1.0, MIN_PAGES / max(1, baskets.count())))
+    min_support = max(min_support, min(1.0, (MIN_PAGES - 0.5) / max(1, baskets.count())))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     return model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).where(F.col("lift") >= min_lift).select("antecedent", "confidence", "support", "lift")
 
