@@ -164,6 +164,12 @@ def leftmost_minima(gram: np.ndarray, w: int) -> np.ndarray:
     return (sliding_min(key, w) & U64(0xFFFFFF)).astype(np.int64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; several times faster on wide integers than numpy's own."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True."""
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
