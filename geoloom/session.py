@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -73,6 +74,15 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs whose results are written out.
+
+    It does so when the driver's JVM collects its garbage, which a large job may otherwise put off.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per application."""
     app = spark.sparkContext.applicationId
