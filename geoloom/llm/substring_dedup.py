@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.exchange import Chunk, bucket_bits, chunked, chunks_of, pack_chunk, planes, split, spread, unplanes
 from geoloom.llm.kernels import NOT_SPACE, U64, Words, cover, distinct, grams, leftmost_minima, mix, runs
-from geoloom.session import discard, materialize, ship_package
+from geoloom.session import discard, free_shuffles, materialize, ship_package
 
 WINDOW = 13
 #: Words of an anchor's gram; a window has WINDOW - GRAM + 1 of them.
@@ -216,6 +216,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     anchors = materialize(asked.groupBy("bucket").applyInArrow(_answer_anchors, "chunk long, bucket int, flags binary"), "anchors")
     marked = materialize(chunks.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_mark(bits, window, gram), _MARKED_SCHEMA), "marked")
     discard(chunks, anchors)
+    free_shuffles(spark)
     windows = marked.where("kind = 'window'").select("bucket", "chunk", "keys", "docs")
     first = materialize(windows.groupBy("bucket").applyInArrow(_answer_windows, "chunk long, bucket int, docs binary"), "first")
     open_ = marked.where("kind = 'chunk'").select("chunk", "ids", "known", "sizes", "text", "keys")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.exchange import Chunk, bucket_bits, chunked, chunks_of, pack_chunk, split, spread
 from geoloom.llm.kernels import U64, cover, leftmost_minima, mix, runs
-from geoloom.session import discard, materialize, ship_package
+from geoloom.session import discard, free_shuffles, materialize, ship_package
 
 WINDOW = 200
 #: Bytes of an anchor's gram.
@@ -352,6 +352,7 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     states = materialize(asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, states binary"), "ranks")
     marked = materialize(chunks.groupBy("chunk").cogroup(states.groupBy("chunk")).applyInArrow(_mark(bits, window, gram), _MARKED_SCHEMA), "ties")
     discard(chunks, states)
+    free_shuffles(spark)
     segments = marked.where("kind = 'segments'").select("bucket", "chunk", "text", "asked")
     flags = materialize(segments.groupBy("bucket").applyInArrow(_sort_buckets(window), "chunk long, bucket int, flags binary"), "suffixes")
     open_ = marked.where("kind = 'chunk'").select("chunk", "ids", "known", "sizes", "text", "marks", "asked")
