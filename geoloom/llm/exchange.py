@@ -50,6 +50,7 @@ def chunks_of(table_or_batch):
     cols = [table_or_batch.column(c) for c in ("chunk", "ids", "known", "sizes", "text")]
     for row in zip(*cols):
         yield Chunk(row[0].as_py(), row[1].as_py(), row[2].as_py(), row[3].as_py(), row[4].as_buffer())
+        pa.default_memory_pool().release_unused()  # else Arrow keeps what batches before needed
 
 
 def _lay_out(limit: int):

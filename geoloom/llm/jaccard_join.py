@@ -5,9 +5,12 @@ that two documents share cancel out alike, so a lane differs only if a shingle o
 difference fell into it: the Hamming distance over lanes is at most the size of the symmetric
 difference. Documents that may link lie in one size band or the next, where the links' similarity
 bounds that size by d; with d + 1 + slack lanes at least slack + 1 agree, and by the prefix argument
-one of them is among the d + 1 lanes of either document that come first in a common order (more
-shingles first, so the lanes that say least are left out). Documents meet in buckets of equal lanes,
-and their shingle sets verify each pair.
+one of them is among the d + 1 lanes of either document that come first in a common order. The order
+is by how many documents have a lane's value, counted over the corpus: rare ones first, so the lanes
+that only hold a common passage are left out, and values that one document alone has bring nobody
+together and need no row. Documents meet in groups of equal lanes.
+A second parity sketch, of at least two bits for each shingle, drops most pairs that can't link: its Hamming
+distance is a lower bound too. The shingle sets verify what is left.
 
 A group of equal lanes may be huge. Its pairs are never listed: members are checked against the
 group's first document, linked ones contract into components, and only members of different
@@ -22,15 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.components import connected_components
-from geoloom.llm.exchange import Chunk, bucket_bits, chunked, chunks_of, split
-from geoloom.llm.kernels import NOT_SPACE, U64, Words, grams, mix
-from geoloom.session import discard, materialize, ship_package
+from geoloom.llm.exchange import Chunk, bucket_bits, chunked, chunks_of, planes, split, spread, unplanes
+from geoloom.llm.kernels import NOT_SPACE, U64, Words, distinct, grams, mix, text_arrays
+from geoloom.session import discard, free_shuffles, materialize, ship_package
 
 SHINGLE_WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
 SLACK = 0.25
+#: Text of a chunk; its lanes need several times as much memory.
+CHUNK_BYTES = 1 << 20
 SALTED = 128
+BLOCK_ROWS = 1024
+SKETCH_WORDS = 8
 ROW_BITS = 20  # a row number is its chunk's number and its place in the chunk
 
 
@@ -53,7 +60,7 @@ class ShingleSets:
         if len(short):  # the whole sequence is the only shingle
             lone = np.array([mix(grams(h[w.first[d] : w.first[d + 1]], int(words[d])) + U64(int(words[d])))[0] for d in short], U64) >> U64(12)
             value, doc = np.concatenate([value, lone]), np.concatenate([doc, short])
-        both = np.unique((doc.astype(U64) << U64(52)) | value)
+        both = distinct((doc.astype(U64) << U64(52)) | value)
         self.doc = (both >> U64(52)).astype(np.int64)
         self.value = both & U64((1 << 52) - 1)
         self.size = np.bincount(self.doc, minlength=len(chunk.ids))
@@ -85,28 +92,47 @@ def most_different(a, b):
     return (a + b) * (100 - PERCENT) // (100 + PERCENT)
 
 
-def lane_keys(sets: ShingleSets, docs: np.ndarray, band: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, documents): the d + 1 lanes of each document that it meets others by, in the given band."""
-    d = most_different(ends[band], ends[band])
-    keep = d + 1
-    lanes = keep + np.where(d > 0, np.ceil(SLACK * keep), 0).astype(np.int64)
-    base = np.cumsum(lanes) - lanes
-    size = sets.size[docs]
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(sets.first[docs], size)
-    value = sets.value[at]
-    mixed = mix(value + np.repeat(band.astype(U64) * U64(0x9E3779B97F4A7C15), size))
-    lane = np.repeat(base, size) + ((mixed >> U64(32)) * np.repeat(lanes, size).astype(U64) >> U64(32)).astype(np.int64)
-    total = int(lanes.sum())
-    word = np.zeros(total, U64)
-    np.bitwise_xor.at(word, lane, mix(value * U64(0xBF58476D1CE4E5B9) + U64(1)))
-    count = np.bincount(lane, minlength=total)
-    owner = np.repeat(np.arange(len(docs)), lanes)
-    number = np.arange(total) - base[owner]
-    order = np.argsort((owner << 40) | ((4095 - np.minimum(count, 4095)) << 24) | np.minimum(number, (1 << 24) - 1), kind="stable")
-    chosen = order[number < np.repeat(keep, lanes)]
-    o = owner[chosen]
-    key = mix(word[chosen] + mix(number[chosen].astype(U64) + (band[o].astype(U64) << U64(40))))
-    return key, docs[o]
+class Lanes:
+    """All lanes of a chunk's documents, in their own band and the next; equal sets have lanes once.
+
+    key: hash of a lane's place and value; number: its place; owner: which document and band it
+    belongs to; doc: a document by owner; keep: how many of its lanes must be looked at, by owner.
+    """
+
+    def __init__(self, sets: ShingleSets):
+        _, docs = np.unique(sets.digests(), axis=0, return_index=True)
+        docs = np.sort(docs[sets.size[docs] > 0])
+        ends = bands(int(sets.size.max(initial=1)) * 2 + 2)
+        band = np.searchsorted(ends, sets.size[docs])
+        self.doc = np.concatenate([docs, docs])
+        band = np.concatenate([band, band + 1])
+        d = most_different(ends[band], ends[band])
+        self.keep = d + 1
+        lanes = self.keep + np.where(d > 0, np.ceil(SLACK * self.keep), 0).astype(np.int64)
+        base, size = np.cumsum(lanes) - lanes, sets.size[self.doc]
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(sets.first[self.doc], size)
+        value = sets.value[at]
+        place = mix(value + np.repeat(band.astype(U64) * U64(0x9E3779B97F4A7C15), size)) >> U64(32)
+        lane = np.repeat(base, size) + (place * np.repeat(lanes, size).astype(U64) >> U64(32)).astype(np.int64)
+        word = np.zeros(int(lanes.sum()), U64)
+        np.bitwise_xor.at(word, lane, mix(value * U64(0xBF58476D1CE4E5B9) + U64(1)))
+        self.owner = np.repeat(np.arange(len(lanes)), lanes)
+        self.number = np.arange(len(word)) - base[self.owner]
+        self.key = mix(word + mix(self.number.astype(U64) + (band[self.owner].astype(U64) << U64(40))))
+        order = np.argsort(self.key)
+        ordered = self.key[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(order) else np.zeros(0, bool)
+        #: Distinct keys, how many lanes have each, and which of them each lane has.
+        self.keys = ordered[new]
+        self.counts = np.diff(np.append(np.flatnonzero(new), len(order)))
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+
+    def first(self, often: np.ndarray) -> np.ndarray:
+        """The lanes that come first in each document and band; often: of each distinct key."""
+        order = np.argsort((self.owner << 40) | (often[self.of].astype(np.int64) << 32) | self.number, kind="stable")
+        rank = np.arange(len(order)) - np.searchsorted(self.owner, self.owner)  # owners are sorted, and so is the order by owner
+        return order[rank < self.keep[self.owner]]
 
 
 def _describe(k: int):
@@ -124,62 +150,140 @@ def _describe(k: int):
 
 
 def _ask(bits: int, k: int):
-    """A row for each chunk and bucket: sorted keys and which documents of the chunk have them. Equal sets ask once."""
+    """A row for each chunk and bucket: its sorted distinct keys and how many documents have them."""
 
     def run(batches):
         for batch in batches:
             for chunk in chunks_of(batch):
-                s = ShingleSets(chunk, k)
-                _, docs = np.unique(s.digests(), axis=0, return_index=True)
-                docs = np.sort(docs[s.size[docs] > 0])
-                if not len(docs):
-                    continue
-                ends = bands(int(s.size.max()) * 2 + 2)
-                band = np.searchsorted(ends, s.size[docs])
-                parts = [lane_keys(s, docs, band, ends), lane_keys(s, docs, band + 1, ends)]
-                key, doc = (np.concatenate(x) for x in zip(*parts))
-                order = np.argsort(key)
-                key, doc = key[order], doc[order].astype(np.uint16)
-                cut = split(key, bits)
-                low = (key >> U64(32 - bits)).astype(np.uint32)
+                x = Lanes(ShingleSets(chunk, k))
+                cut = split(x.keys, bits)
+                low, counts = (x.keys >> U64(32 - bits)).astype(np.uint32), np.minimum(x.counts, 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _, _ in cut], pa.int32()), pa.array([chunk.number] * len(cut), pa.int64()), pa.array([low[i:j].tobytes() for _, i, j in cut], pa.binary()), pa.array([doc[i:j].tobytes() for _, i, j in cut], pa.binary())],
-                    ["bucket", "chunk", "keys", "docs"],
+                    [pa.array([b for b, _, _ in cut], pa.int32()), pa.array([chunk.number] * len(cut), pa.int64()), pa.array([low[i:j].tobytes() for _, i, j in cut], pa.binary()), pa.array([planes(counts[i:j]) for _, i, j in cut], pa.binary())],
+                    ["bucket", "chunk", "keys", "counts"],
                 )
 
     return run
 
 
-def _meet(table):
-    """(key, row) of the lanes that two documents or more have."""
+def _count(table):
+    """For each asking chunk: how many documents of the corpus have each of its keys, 255 standing for more."""
     keys = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]
-    rows = np.concatenate([(c << ROW_BITS) + np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for c, x in zip(table.column("chunk").to_pylist(), table.column("docs"))])
+    counts = np.concatenate([unplanes(x.as_py(), np.uint16) for x in table.column("counts")]).astype(np.int64)
     key = np.concatenate(keys)
-    order = np.lexsort((rows, key))
-    key, rows = key[order], rows[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (rows[1:] != rows[:-1])])
-    key, rows = key[new], rows[new]
-    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-    many = counts[inverse] > 1
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table({"key": pa.array((np.int64(bucket) << 32) | key[many].astype(np.int64)), "row": pa.array(rows[many])})
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    total = np.repeat(np.minimum(np.add.reduceat(counts[order], new), 255), np.diff(np.append(new, len(order))))
+    often = np.empty(len(order), np.uint8)
+    often[order] = total
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "often": pa.array([x.tobytes() for x in spread(often, [len(k) for k in keys])], pa.binary())})
+
 
+_CHOSEN = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("folded", pa.binary()), ("set", pa.binary())])
 
-def _collect_sets(k: int):
-    """(row, set) of the wanted documents of a chunk."""
+
+def _choose(bits: int, k: int):
+    """(key, row) of a chunk's lanes by which documents may meet, and (row, n, sketch, folded sketch, set) of their documents."""
 
     def run(left, right):
-        wanted = np.sort(np.asarray(right.column("row")))
         out = []
-        if len(wanted):
-            for chunk in chunks_of(left):
-                s = ShingleSets(chunk, k)
-                out += [(int(r), s.of(int(r) - (chunk.number << ROW_BITS)).tobytes()) for r in wanted]
-        return pa.table({"row": pa.array([r for r, _ in out], pa.int64()), "set": pa.array([x for _, x in out], pa.binary())})
+        answers = dict(zip(right.column("bucket").to_pylist(), right.column("often").to_pylist()))
+        for chunk in chunks_of(left):
+            s = ShingleSets(chunk, k)
+            x = Lanes(s)
+            often = np.zeros(len(x.keys), np.uint8)
+            for b, i, j in split(x.keys, bits):
+                often[i:j] = np.frombuffer(answers[b], np.uint8)
+            lanes = x.first(often)
+            lanes = lanes[often[x.of[lanes]] > 1]
+            doc = x.doc[x.owner[lanes]]
+            base = chunk.number << ROW_BITS
+            none = pa.nulls(len(lanes))
+            out.append(pa.table([pa.array(x.key[lanes].view(np.int64)), pa.array(base + doc), *(none.cast(f.type) for f in list(_CHOSEN)[2:])], schema=_CHOSEN))
+            rows: list[tuple] = []
+            for d in distinct(doc).tolist():
+                own = s.of(d)
+                bits_ = sketch(own)
+                rows.append((None, base + d, len(own), bits_.tobytes(), fold(bits_, SKETCH_WORDS).tobytes(), own.tobytes()))
+            out.append(pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _CHOSEN)] if rows else [pa.array([], f.type) for f in _CHOSEN], schema=_CHOSEN))
+        return pa.concat_tables(out) if out else _CHOSEN.empty_table()
 
     return run
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Parity sketch of single bits, SKETCH_WORDS words or two bits for each shingle: every shingle flips one."""
+    bits = max(64 * SKETCH_WORDS, 1 << int(2 * len(values) - 1).bit_length())
+    at = (mix(values + U64(0x2545F4914F6CDD1D)) & U64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & np.uint8(1), bitorder="little").view(U64)
+
+
+def fold(words: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same set with fewer bits."""
+    return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
+
+
+def may_link(n: int, words: np.ndarray, others_n: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the others' sketches (rows of equal width) don't rule out a link."""
+    distance = np.bitwise_count(others ^ words).sum(1, dtype=np.int64)
+    fits = np.minimum(n, others_n) * 100 >= PERCENT * np.maximum(n, others_n)
+    return fits & (distance <= most_different(n, others_n))
+
+
+def _pairs_that_may_link(batches):
+    """Keeps (a, b) of rows (a, b, na, nb, sa, sb) whose sketches don't rule a link out."""
+    for batch in batches:
+        na, nb = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
+        keep = np.zeros(len(na), bool)
+        for i, (sa, sb) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
+            x, y = np.frombuffer(sa.as_buffer(), U64), np.frombuffer(sb.as_buffer(), U64)
+            size = min(len(x), len(y))
+            keep[i] = may_link(int(na[i]), fold(x, size), nb[i : i + 1], fold(y, size)[None])[0]
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+
+def _cross_pairs(batches):
+    """Pairs of different components in a group (or block of one) whose folded sketches don't rule a link out.
+
+    Rows come sorted by group; all groups of a batch are compared at once, each row with the one so
+    many places further on. A batch's last group waits for the next batch.
+    """
+    names = ("key", "block", "row", "label", "n")
+
+    def compare(cols, words):
+        key, block, row, label, n = cols
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        left, step = np.arange(len(key)), 1
+        while True:
+            left = left[left + step < len(key)]
+            right = left + step
+            left = left[(key[left] == key[right]) & (block[left] == block[right])]
+            if not len(left):
+                break
+            right = left + step
+            i = label[left] != label[right]
+            x, y = left[i], right[i]
+            x, y = (z[np.minimum(n[x], n[y]) * 100 >= PERCENT * np.maximum(n[x], n[y])] for z in (x, y))
+            ok = np.bitwise_count(words[x] ^ words[y]).sum(1, dtype=np.int64) <= most_different(n[x], n[y])
+            a.append(np.minimum(row[x[ok]], row[y[ok]]))
+            b.append(np.maximum(row[x[ok]], row[y[ok]]))
+            step += 1
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    held, held_words = [np.zeros(0, np.int64)] * 5, np.zeros((0, SKETCH_WORDS), U64)
+    for batch in batches:
+        cols = [np.concatenate([h, np.asarray(batch.column(c)).astype(np.int64)]) for h, c in zip(held, names)]
+        data, starts, _, _ = text_arrays(batch.column("folded"))
+        new = data[starts[0] : starts[0] + 8 * SKETCH_WORDS * len(starts)].view(np.uint8).tobytes() if len(starts) else b""
+        words = np.concatenate([held_words, np.frombuffer(new, U64).reshape(-1, SKETCH_WORDS)])
+        before = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1])) if len(cols[0]) else []
+        cut = int(before[-1]) + 1 if len(before) else 0
+        yield compare([c[:cut] for c in cols], words[:cut])
+        held, held_words = [c[cut:] for c in cols], words[cut:]
+    yield compare(held, held_words)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if min(len(a), len(b)) * 100 < PERCENT * max(len(a), len(b)):
         return False
@@ -218,34 +322,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     ship_package(spark)
-    chunks = chunked(docs, id_col, text_col, "jaccard")
-    bits = bucket_bits(chunks) + 2
+    chunks = chunked(docs, id_col, text_col, "jaccard", CHUNK_BYTES)
+    bits = bucket_bits(chunks) + 1
     about = materialize(chunks.select("chunk", "ids", "known", "sizes", "text").mapInArrow(_describe(shingle_words), "row long, id long, n long, d1 long, d2 long"), "sets")
     # Equal sets are one class, whose first row stands for it.
     classes = about.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("size"))
     copies = materialize(about.join(classes.where("size > 1"), ["d1", "d2", "n"]).select("row", "rep"), "copies")
-    asked = chunks.select("chunk", "ids", "known", "sizes", "text").mapInArrow(_ask(bits, shingle_words), "bucket int, chunk long, keys binary, docs binary")
-    met = asked.groupBy("bucket").applyInArrow(_meet, "key long, row long")
-    met = met.join(copies, "row", "left").select("key", F.coalesce("rep", "row").alias("row")).distinct()
-    met = materialize(met, "met")
+    asked = chunks.select("chunk", "ids", "known", "sizes", "text").mapInArrow(_ask(bits, shingle_words), "bucket int, chunk long, keys binary, counts binary")
+    often = materialize(asked.groupBy("bucket").applyInArrow(_count, "chunk long, bucket int, often binary"), "often")
+    free_shuffles(spark)
+    chosen = materialize(chunks.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInArrow(_choose(bits, shingle_words), "key long, row long, n long, sketch binary, folded binary, set binary"), "lanes")
+    discard(chunks, often)
+    free_shuffles(spark)
+    sets = chosen.where("set IS NOT NULL").drop("key")
+    met = chosen.where("key IS NOT NULL").select("key", "row").join(copies, "row", "left").select("key", F.coalesce("rep", "row").alias("row")).distinct()
     groups = met.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last")
     members = materialize(met.join(groups, "key").select("key", "first", "row"), "members")
-    wanted = members.select("row").distinct().withColumn("chunk", F.shiftright("row", ROW_BITS))
-    sets = materialize(chunks.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(_collect_sets(shingle_words), "row long, set binary"), "candidates")
-    discard(chunks, met)
     # First round: everyone against the group's first document.
+    sketches = lambda r, n, s: sets.select(F.col("row").alias(r), F.col("n").alias(n), F.col("sketch").alias(s))
     stars = members.where("row > first").select(F.col("first").alias("a"), F.col("row").alias("b")).distinct()
-    linked_ = materialize(_links(stars, sets), "stars")
+    stars = stars.join(sketches("b", "nb", "sb"), "b").where(F.col("nb") > 0).join(sketches("a", "na", "sa"), "a")
+    stars = materialize(stars.mapInArrow(_pairs_that_may_link, "a long, b long"), "hopeful")
+    linked_ = materialize(_links(stars, sets.select("row", "set")), "stars")
     label = connected_components(linked_)
     # Second round: what a group still has in different components. Every link there joins two of them.
-    labelled = members.select("key", "row").join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = materialize(labelled.join(open_, "key"), "open")
-    x, y = rest.select("key", F.col("row").alias("a"), F.col("label").alias("la")), rest.select("key", F.col("row").alias("b"), F.col("label").alias("lb"))
-    cross = x.join(y, "key").where("a < b and la <> lb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(_links(cross, sets), "cross")
+    labelled = materialize(members.select("key", "row").join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row")), "labelled")
+    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    tops = counts.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("top"), F.max("size").alias("size"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    # The largest component of a group is dealt out in blocks; the others' members go to each of them.
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    block = F.when(F.col("label") == F.col("top"), F.array(F.pmod(F.xxhash64("row"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+    open_ = labelled.join(tops, "key").select("key", "row", "label", F.explode(block).alias("block")).join(sets.select("row", "n", "folded"), "row")
+    sorted_ = open_.select("key", "block", "row", "label", "n", "folded").repartition("key", "block").sortWithinPartitions("key", "block")
+    cross = sorted_.mapInArrow(_cross_pairs, "a long, b long").distinct()
+    more = materialize(_links(materialize(cross.join(stars, ["a", "b"], "left_anti"), "crossing"), sets.select("row", "set")), "cross")
     edges = linked_.unionByName(more).unionByName(copies.select(F.col("row").alias("a"), F.col("rep").alias("b")).where("a <> b"))
     label = connected_components(edges)
+    discard(members, chosen, stars, labelled, linked_, more)
     whole = about.join(label.withColumnRenamed("node", "row"), "row", "left").select("id", "n", F.coalesce("label", "row").alias("label"))
     least = whole.groupBy("label").agg(F.min("id").alias("component_id"))
     return whole.join(least, "label").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
