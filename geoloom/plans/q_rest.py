@@ -211,7 +211,8 @@ def k7(spark, sf):
 @query("t2_axis_samples", "SELECT axis, k FROM (SELECT 51 AS axis, unnest(range(0, 51, 8)) AS k UNION SELECT 51, 50 UNION SELECT 17, unnest(range(0, 17, 8)) UNION SELECT 17, 16)")
 def t2(spark, sf):
     d = spark.createDataFrame([(51,), (17,)], "axis int")
-    return d.select("axis", F.explode(F.array_distinct(F.array_append(F.sequence(F.lit(0), F.col("axis") - 1, F.lit(8)), F.col("axis") - 1))).cast("long").alias("k")).distinct()
+    places = F.array_distinct(F.array_append(F.sequence(F.lit(0), F.col("axis") - 1, F.lit(8)), F.col("axis") - 1))
+    return d.select("axis", F.explode(places.cast("array<bigint>")).alias("k")).distinct()
 
 
 @query("t3_grid_crop", with_("grid") + " SELECT c - 10 AS c, r - 12 AS r, v FROM grid WHERE c BETWEEN 10 AND 31 AND r BETWEEN 12 AND 26")
