@@ -3,10 +3,10 @@
 A configuration is a multiset of piece lengths that fit into one sequence. The LP picks how often to
 use each so that all pieces are covered by as few sequences as possible. Only the histogram of
 lengths (at most as many entries as a sequence has tokens) enters it, whatever the corpus' size.
-Multiplicative weights solve it: lengths that are covered less weigh more, and a knapsack dynamic
-program prices the best configuration under the weights. The solution is rounded down; what
-is left, a few pieces per configuration, is placed best fit first. Pieces then find their place by
-their rank among the pieces of their length.
+Multiplicative weights approximate it: lengths that are covered less weigh more, and a knapsack
+dynamic program prices the best configurations under the weights; they may leave waste. The
+fractional solution is rounded down, the rest solved again, and what rounding leaves is placed best
+fit first. Pieces then find their place by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 from geoloom.llm.kernels import text_arrays
 from geoloom.session import materialize, ship_package
 
-#: Rounds at most, a round's share of the scarcest length, how sharply weights fall with coverage, what best fit gets.
-ROUNDS, STEP, ETA, LEFT_OVER = 800, 0.2, 1.0, 0.3
+#: Rounds at most, how much of a length a round covers, how sharply weights fall with coverage.
+ROUNDS, STEP, ETA = 600, 0.05, 2.0
+#: How far below the best value a configuration may be, how far above the bound a solution, how often what is left is solved.
+SLACK, GAP, AGAIN = 0.003, 0.001, 4
+#: (index of a length, pieces of it), by index.
+Config = tuple[tuple[int, int], ...]
 _encoders: dict = {}
 
 
@@ -79,40 +83,99 @@ def _cut(path: str, capacity: int, end_id: int):
     return run
 
 
-def price(values: np.ndarray, lengths: np.ndarray, have: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each length the configuration of the largest value has: knapsack by dynamic programming.
+def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(largest value of a configuration of at most c tokens, a length it has or -1 if c - 1 does as well) for each c.
 
-    No more than there are of a length, nor more than three.
+    Knapsack by dynamic programming, any number of each length; lengths ascend.
     """
-    copies = np.minimum(np.minimum(have, capacity // lengths), 3)
-    items = [(k, m) for k in range(len(lengths) - 1, -1, -1) for m in ((1, 2) if copies[k] == 3 else (1,) * int(copies[k]))]
-    best = np.zeros(capacity + 1)
-    taken = np.zeros((len(items), capacity + 1), bool)
-    for t, (k, m) in enumerate(items):
-        size = int(lengths[k]) * m
-        with_it = best[: capacity + 1 - size] + values[k] * m
-        better = with_it > best[size:] + 1e-12
-        taken[t, size:] = better
-        best[size:][better] = with_it[better]
-    out, c = np.zeros(len(lengths), np.int64), capacity
-    for t in range(len(items) - 1, -1, -1):
-        if taken[t, c]:
-            k, m = items[t]
-            out[k] += m
-            c -= int(lengths[k]) * m
-    return out
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for c in range(int(lengths[0]), capacity + 1):
+        k = int(np.searchsorted(lengths, c, "right"))
+        with_it = best[c - lengths[:k]] + values[:k]
+        j = int(with_it.argmax())
+        best[c] = best[c - 1]
+        if with_it[j] > best[c] + 1e-12:
+            best[c], last[c] = with_it[j], j
+    return best, last
+
+
+def cover(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[Config, float], float]:
+    """(x of each configuration, lower bound) of the LP min sum x_c with sum_c a_cl x_c >= n_l for each length l.
+
+    Multiplicative weights: a piece is worth its length, which is its dual price where packings without
+    waste exist, times a weight that falls exponentially with its length's coverage. A round prices
+    the best configuration with the knapsack and raises x of those within SLACK of it, at most one
+    for each length, until it has covered STEP of a length. The bound is what the values, scaled so that no
+    configuration is worth more than 1, give all pieces. x is scaled to cover all and is the best
+    of growing windows of rounds, as early rounds know no good weights yet; it is within GAP of the bound
+    or what the rounds reached.
+    """
+    n, size = counts.astype(float), lengths.tolist()
+    covered, since = np.zeros(len(n)), np.zeros(len(n))
+    bound, least, found, x, reset = float((n * lengths).sum()) / capacity, np.inf, {}, {}, 16
+    for r in range(rounds):
+        values = lengths * np.exp(-ETA * (covered - covered.min()))
+        best, last = price(values, lengths, capacity)
+        bound = max(bound, float((n * values).sum() / best[capacity]))
+        if since.min() > 0 and sum(x.values()) / since.min() < least:
+            least = sum(x.values()) / since.min()
+            found = {key: v / since.min() for key, v in x.items()}
+        if least <= bound * (1 + GAP):
+            break
+        if r == reset:
+            x, since, reset = {}, np.zeros(len(n)), reset * 3 // 2
+        chosen, gone = last.tolist(), np.zeros(len(n))
+        down = np.maximum.accumulate(np.where(last >= 0, np.arange(capacity + 1), 0)).tolist()
+        near = values + best[capacity - lengths] >= (1 - SLACK) * best[capacity]
+        for k in np.argsort(covered, kind="stable").tolist():
+            if not near[k]:
+                continue
+            config, c = Counter([k]), down[capacity - size[k]]
+            while c > 0:
+                config[chosen[c]] += 1
+                c = down[c - size[chosen[c]]]
+            key = tuple(sorted(config.items()))
+            rows, a = [j for j, _ in key], np.array([m for _, m in key], float)
+            step = float(((STEP - gone[rows]) * n[rows] / a).min())
+            if step > 1e-9:
+                gone[rows] += step * a / n[rows]
+                x[key] = x.get(key, 0.0) + step
+        covered += gone
+        since += gone
+    return found, bound
+
+
+def round_down(x: dict[Config, float], rest: np.ndarray) -> list[tuple[Config, int]]:
+    """Whole sequences of x, taken from rest: each x rounded down, then one wherever the fractions, in the order of configurations, add up to one.
+
+    No configuration is used oftener than the pieces that are left allow.
+    """
+    plan: Counter = Counter()
+
+    def take(key, times):
+        times = min([times, *(int(rest[j]) // m for j, m in key)])
+        for j, m in key:
+            rest[j] -= times * m
+        plan[key] += times
+
+    for key, v in sorted(x.items(), key=lambda kv: (-kv[1], kv[0])):
+        take(key, int(v + 1e-6))
+    carry = 0.0
+    for key, v in sorted(x.items()):
+        carry += max(0.0, v - int(v + 1e-6))
+        if carry >= 1 - 1e-6:
+            take(key, 1)
+            carry -= 1
+    return [(key, times) for key, times in plan.items() if times]
 
 
 def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Configurations (pieces of each length) and how often to use each; they take up all pieces exactly.
 
-    Covering LP: minimise the sum of x_c so that every length l gets sum_c a_cl x_c >= n_l. A size's
-    share of the capacity is the dual price of a perfect packing, so configurations without waste
-    have reduced cost zero; among these the multiplicative weights, which fall exponentially with a
-    length's coverage and count for more with long pieces, choose. A round prices the best configuration and raises its x_c by what
-    covers STEP of its scarcest length. Pieces of full length need no program. x is rounded down to
-    whole sequences; best fit places the last LEFT_OVER of the pieces, in which lengths are still
-    mixed, and whatever configurations without waste no longer reach.
+    The fractional covering solution is rounded down, the program is solved again for the pieces
+    that are left, AGAIN times at most, and best fit places what rounding leaves. Of the plans after
+    0, 1, ... solutions the one with the fewest sequences is returned, so none is worse than best
+    fit alone. Pieces of full length need no program.
     """
     rest = counts.astype(np.int64).copy()
     plan: list[tuple[np.ndarray, int]] = []
@@ -120,26 +183,23 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int =
     if whole.any():
         plan.append((whole.astype(np.int64), int(rest[whole][0])))
         rest[whole] = 0
-    use: Counter = Counter()
-    enough = LEFT_OVER * int((rest * lengths).sum())
-    for _ in range(rounds):
+    plans = [plan + _best_fit(lengths, rest, capacity)]
+    for _ in range(AGAIN):
         open_ = np.flatnonzero(rest > 0)
-        if not len(open_) or int((rest * lengths).sum()) <= enough:
+        if not len(open_):
             break
-        size, n = lengths[open_], rest[open_]
-        covered = 1 - n / counts[open_]
-        weight = np.exp(-ETA * (covered - covered.min()))
-        config = price(size + 0.9 * weight * (size / capacity) ** 2, size, n, capacity)
-        has = config > 0
-        if int((config * size).sum()) < capacity:
+        left = rest[open_]
+        used = round_down(cover(lengths[open_], left, capacity, rounds)[0], left)
+        if not used:
             break
-        times = max(1, min(int(STEP * (counts[open_][has] / config[has]).min()), int((n[has] // config[has]).min())))
-        full = np.zeros(len(lengths), np.int64)
-        full[open_] = config
-        use[full.tobytes()] += times
-        rest -= times * full
-    plan += [(np.frombuffer(key, np.int64), times) for key, times in sorted(use.items(), key=lambda kv: (-kv[1], kv[0]))]
-    return plan + _best_fit(lengths, rest, capacity)
+        rest[open_] = left
+        for key, times in used:
+            config = np.zeros(len(lengths), np.int64)
+            for j, m in key:
+                config[open_[j]] = m
+            plan.append((config, times))
+        plans.append(plan + _best_fit(lengths, rest, capacity))
+    return min(plans, key=lambda p: sum(times for _, times in p))
 
 
 def _best_fit(lengths: np.ndarray, rest: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:

@@ -1,5 +1,6 @@
 """Operators against plain versions, on the driver's small tables and on hard cases."""
 
+import functools
 import random
 import zlib
 
@@ -222,6 +223,47 @@ def test_plans_take_up_all_pieces(histogram):
     assert (sum(c * m for c, m in plan) == counts).all() and all((c * lengths).sum() <= 64 for c, _ in plan)
 
 
+def _fewest(lengths, counts, capacity):
+    """Sequences of a best packing, by trying all configurations that hold the longest piece left."""
+
+    @functools.cache
+    def least(state):
+        if not any(state):
+            return 0
+        first = max(k for k, n in enumerate(state) if n)
+
+        def fill(k, left, room):
+            if k < 0:
+                yield tuple(left)
+                return
+            for m in range(min(left[k], room // lengths[k]) + 1):
+                yield from fill(k - 1, left[:k] + [left[k] - m] + left[k + 1 :], room - m * lengths[k])
+
+        taken = list(state)
+        taken[first] -= 1
+        return 1 + min(least(s) for s in fill(first, taken, capacity - lengths[first]))
+
+    return least(tuple(counts))
+
+
+@pytest.mark.parametrize("histogram", [{305: 20, 410: 10}, {305: 12, 410: 6, 700: 5}, {201: 16, 413: 8}, {150: 20, 270: 5}, {300: 8, 340: 8, 380: 8}, {260: 9, 350: 9, 410: 9}, {7: 300, 1000: 2}])
+def test_packing_without_exact_fills(histogram):
+    """Histograms for which no configuration has exactly 1024 tokens, or only useless ones."""
+    lengths, counts = sorted(histogram), [histogram[k] for k in sorted(histogram)]
+    plan = packing.solve(np.array(lengths), np.array(counts), 1024)
+    assert (sum(c * m for c, m in plan) == counts).all() and all((c * lengths).sum() <= 1024 for c, _ in plan)
+    assert sum(m for _, m in plan) == (_fewest(lengths, counts, 1024) if max(counts) < 100 else 5)
+
+
+@pytest.mark.parametrize("times", [1, 7, 500])
+def test_covering_program(times):
+    """410 + 305 + 305 is the best fill of its pieces; best fit decreasing would pair the long ones."""
+    lengths, counts = np.array([305, 410]), np.array([2, 1]) * 100 * times
+    x, bound = packing.cover(lengths, counts, 1024)
+    assert abs(sum(x.values()) - 100 * times) < 0.2 * times and bound <= 100 * times + 1e-6
+    assert sum(m for _, m in packing.solve(lengths, counts, 1024)) == 100 * times
+
+
 def test_url_filter(spark):
     urls = [(1, "http://example.com/en/712"), (2, "https://A.Example.COM/en/8?x#y"), (3, None), (4, "no scheme"), (5, "http://badcom/en/"), (6, "http://x.example.net/de/81"), (7, "http://x.example.net/de/9"), (8, "http://bad.biz?x=1"), (9, "http://good.biz/a"), (10, ""), (1, "http://example.com/en/712")]
     pages = spark.createDataFrame([(*u, "h", "p", "v") for u in urls], "page_id long, url string, host string, path string, verdict string")
