@@ -71,28 +71,37 @@ def shortest_path(nodes: dict[int, tuple[float, float]], edges: dict[int, list[t
     return None
 
 
-def route_legs(nodes: DataFrame, edges: DataFrame, legs: DataFrame) -> DataFrame:
-    """(leg, pos, id, cost): the path of each leg (leg, region, start, goal), found next to its region's part of the graph.
+def route_legs(edges: DataFrame, legs: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(leg, pos, id, cost): the shortest path of each leg (leg, start, goal) on the whole graph; no rows where there is no way.
 
-    nodes and edges carry region too: one cogrouped task holds one region's graph, never the whole.
+    Frontier relaxation as in distances(), with the node each was reached from; nothing beyond a
+    goal's present distance is followed. Paths are then read backwards, a step of all legs a round.
     """
-    import pandas as pd
-
-    ends = lambda k, x, z, region: nodes.select(F.col("id").alias(k), F.col("x").alias(x), F.col("z").alias(z), F.col("region").alias(region))
-    joined = edges.join(ends("src", "ax", "az", "area"), "src").join(ends("dst", "bx", "bz", "other"), "dst").where("area = other")
-
-    def run(part: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        places = dict(zip(graph.src, zip(graph.ax, graph.az))) | dict(zip(graph.dst, zip(graph.bx, graph.bz)))
-        out: dict[int, list] = {}
-        for s, d, w in zip(graph.src, graph.dst, graph.w):
-            out.setdefault(s, []).append((d, w))
-        rows = []
-        for leg, a, b in zip(part.leg, part.start, part.goal):
-            found = shortest_path(places, out, a, b) if a in places and b in places else None
-            rows += [(leg, k, n, found[1]) for k, n in enumerate(found[0])] if found else []
-        return pd.DataFrame(rows, columns=["leg", "pos", "id", "cost"])
-
-    return legs.groupBy("region").cogroup(joined.select("area", "src", "dst", "w", "ax", "az", "bx", "bz").groupBy("area")).applyInPandas(run, "leg long, pos int, id long, cost double")
+    ends = materialize(legs.select("leg", "start", "goal"), "ends")
+    best = materialize(ends.select("leg", F.col("start").alias("id"), F.lit(0.0).alias("d"), F.lit(None).cast("long").alias("prev")), "legs")
+    frontier = best
+    for _ in range(rounds):
+        step = frontier.select("leg", F.col("id").alias("at"), "d").join(edges, F.col("at") == F.col("src")).select("leg", F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("d"), F.col("src").alias("prev"))
+        step = step.groupBy("leg", "id").agg(F.min(F.struct("d", "prev")).alias("s")).select("leg", "id", "s.d", "s.prev")
+        reached = best.join(ends.select("leg", F.col("goal").alias("id")), ["leg", "id"]).select("leg", F.col("d").alias("most"))
+        old = best.select("leg", "id", F.col("d").alias("old"))
+        step = step.join(old, ["leg", "id"], "left").where("old IS NULL OR d < old - 1e-9").join(reached, "leg", "left").where("most IS NULL OR d <= most")
+        frontier = materialize(step.select("leg", "id", "d", "prev"), "closer")
+        if frontier.isEmpty():
+            break
+        new = materialize(best.unionByName(frontier).groupBy("leg", "id").agg(F.min_by(F.struct("d", "prev"), "d").alias("s")).select("leg", "id", "s.d", "s.prev"), "legs")
+        discard(best)
+        best = new
+    at = materialize(ends.select("leg", F.col("goal").alias("id")).join(best, ["leg", "id"]).select("leg", "id", F.lit(0).alias("back"), F.col("d").alias("cost"), "prev"), "paths")
+    path = at
+    while not (at := at.where("prev IS NOT NULL")).isEmpty():
+        on = at.select("leg", F.col("prev").alias("id"), (F.col("back") + 1).alias("back"), "cost").join(best.select("leg", "id", "prev"), ["leg", "id"])
+        at = materialize(on.select("leg", "id", "back", "cost", "prev"), "paths")
+        new = materialize(path.unionByName(at), "paths")
+        discard(path)
+        path = new
+    length = path.groupBy("leg").agg(F.max("back").alias("last"))
+    return path.join(length, "leg").select("leg", (F.col("last") - F.col("back")).alias("pos"), "id", "cost")
 
 
 def loose_ends(edges: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from geoloom.plans.q_agg import FULL, full, segments
 from geoloom.plans.q_join import CENTRES, centres, feet
 from geoloom.plans.q_scalar import sq
 from geoloom.plans.registry import query
-from geoloom.session import ship_package
+from geoloom.session import materialize, ship_package
 from geoloom.sources import files, readers, sinks
 from geoloom.streaming import state
 
@@ -309,8 +309,10 @@ def i12(spark, sf):
 # Graphs
 
 
-def walk(spark, sf):
-    s = segments(spark, sf).where("len < 250").select("ax", "az", "bx", "bz", (F.col("okey") % 5 == 0).alias("steps"))
+def walk(spark, sf, shorter=None):
+    """The graph of all segments, or of those shorter than so many metres."""
+    s = segments(spark, sf)
+    s = (s if shorter is None else s.where(F.col("len") < shorter)).select("ax", "az", "bx", "bz", (F.col("okey") % 5 == 0).alias("steps"))
     return graph.build_graph(s, 20.0)
 
 
@@ -323,7 +325,8 @@ GRAPH = ("paths",), {
 
 @query("i1_walk_graph", with_(*GRAPH[0], **GRAPH[1]) + f" SELECT src, dst, {sq('w', 3)} AS w FROM e")
 def i1(spark, sf):
-    return walk(spark, sf)[1].select("src", "dst", r(F.col("w"), 3).alias("w"))
+    """Of segments under 250 m only, as its SQL says."""
+    return walk(spark, sf, 250)[1].select("src", "dst", r(F.col("w"), 3).alias("w"))
 
 
 @query("i2_bridge_candidates")
@@ -336,7 +339,7 @@ def i2(spark, sf):
 def i3(spark, sf):
     nodes, edges = walk(spark, sf)
     sources = nodes.where("x < 60 AND z < 60").select(F.col("id").alias("source"))
-    return graph.distances(edges, sources, 400.0).select("source", "id", r(F.col("d"), 3).alias("d"))
+    return graph.distances(materialize(edges, "edges"), sources, 400.0).select("source", "id", r(F.col("d"), 3).alias("d"))
 
 
 def legs(spark, sf):
@@ -344,7 +347,7 @@ def legs(spark, sf):
     region = (F.floor(F.col("x") / 250) * 4 + F.floor(F.col("z") / 250)).cast("int")
     nodes = nodes.withColumn("region", region)
     ends = nodes.groupBy("region").agg(F.min("id").alias("start"), F.max("id").alias("goal"))
-    return nodes, graph.route_legs(nodes, edges, ends.select(F.col("region").cast("long").alias("leg"), "region", "start", "goal"))
+    return nodes, graph.route_legs(materialize(edges, "edges"), ends.select(F.col("region").cast("long").alias("leg"), "start", "goal"))
 
 
 @query("i4_route_legs")
@@ -583,7 +586,7 @@ def i14(spark, sf):
 @query("j9_host_settlement")
 def j9(spark, sf):
     """A name is held by one mass within 150 m: rounds in which each keeps it unless a smaller id near by still has it, until nothing changes."""
-    from geoloom.session import discard, materialize
+    from geoloom.session import discard
 
     m = centres(spark, sf)
     b = m.select(F.col("id").alias("other"), F.col("name").alias("bname"), F.col("x").alias("bx"), F.col("z").alias("bz"))

@@ -108,6 +108,40 @@ def test_many_source_distances_match_single_paths(spark):
     assert got[(0, 6)] == 2.5 and got[(0, 5)] == 3.5 and got[(0, 3)] == 3.0
 
 
+def test_routes_cross_regions_and_use_long_edges(spark):
+    """Shortest ways of random legs against a plain search; nodes lie on a line, so that a way may leave and come back."""
+    import random
+
+    rng = random.Random(4)
+    pairs = {(a, b): rng.uniform(1, 900) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(110)) if a != b}
+    both = {k: w for (a, b), w in pairs.items() for k in ((a, b), (b, a))}
+    plain = {}
+    for (a, b), w in both.items():
+        plain.setdefault(a, []).append((b, w))
+    legs = [(k, rng.randrange(60), rng.randrange(60)) for k in range(20)] + [(20, 5, 5), (21, 3, 99)]
+    got = {}
+    for r in graph.route_legs(spark.createDataFrame([(*k, w) for k, w in both.items()], "src long, dst long, w double"), spark.createDataFrame(legs, "leg long, start long, goal long")).collect():
+        got.setdefault(r.leg, []).append((r.pos, r.id, r.cost))
+    flat = {k: (0.0, 0.0) for k in range(100)}
+    for leg, a, b in legs:
+        want, path = graph.shortest_path(flat, plain, a, b), sorted(got.get(leg, []))
+        assert (want is None) == (not path)
+        if path:
+            ids = [p[1] for p in path]
+            assert [p[0] for p in path] == list(range(len(ids))) and (ids[0], ids[-1]) == (a, b)
+            assert abs(sum(both[e] for e in zip(ids, ids[1:])) - want[1]) < 1e-6 and abs(path[0][2] - want[1]) < 1e-6
+
+
+def test_walk_queries_use_all_segments(spark):
+    from geoloom.plans import q_rest
+    from tests.conftest import SF
+
+    _, edges = q_rest.walk(spark, SF)
+    assert edges.where("w > 3.5 * 250").count() > 0
+    most = q_rest.segments(spark, SF).agg({"len": "max"}).first()[0]
+    assert edges.agg({"w": "max"}).first()[0] >= most
+
+
 def test_fill_holes_fills_all_and_keeps_values(spark):
     g = spark.createDataFrame([(0, 0, 1.0), (4, 4, 3.0)], "c int, r int, v double")
     out = {(r.c, r.r): r.v for r in grids.fill_holes(g, 5, 5).collect()}
