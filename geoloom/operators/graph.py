@@ -110,13 +110,114 @@ def loose_ends(edges: DataFrame) -> DataFrame:
 
 
 def bridge_candidates(nodes: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
-    """(id, other, d): for each loose end the nearest node of the rest within reach, not its neighbour."""
-    from geoloom.operators.spatial import first_per, within_distance
+    """(id, a, b, t, d): each loose end with all edges a < b not its own whose inside (t of .02 to .98 from a to b) is within reach.
 
+    Equi-join on cells of the reach's size: an edge is in the cells along it, a tip looks at 3 x 3.
+    """
+    at = lambda k, x, z: nodes.select(F.col("id").alias(k), F.col("x").alias(x), F.col("z").alias(z))
+    cell = lambda c: F.floor(c / reach).cast("long")
     tips = loose_ends(edges).join(nodes, "id")
-    other = nodes.select(F.col("id").alias("other"), F.col("x").alias("bx"), F.col("z").alias("bz"))
-    near = within_distance(tips, other, reach).where("id <> other").join(edges.select(F.col("src").alias("id"), F.col("dst").alias("other")), ["id", "other"], "left_anti")
-    return first_per(near, ["id"], [F.col("d"), F.col("other")]).select("id", "other", "d")
+    near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    tips = tips.withColumn("cx", F.explode(F.transform(near, lambda k: cell(F.col("x")) + k))).withColumn("cz", F.explode(F.transform(near, lambda k: cell(F.col("z")) + k)))
+    e = edges.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).join(at("a", "ax", "az"), "a").join(at("b", "bx", "bz"), "b")
+    e = e.withColumn("cx", F.explode(F.sequence(cell(F.least("ax", "bx")), cell(F.greatest("ax", "bx")))))
+    dx, dz = F.col("bx") - F.col("ax"), F.col("bz") - F.col("az")
+    along = lambda x: F.when(dx == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("ax")) / dx)))
+    z0, z1 = F.col("az") + dz * along(F.col("cx") * reach), F.when(dx == 0, F.col("bz")).otherwise(F.col("az") + dz * along((F.col("cx") + 1) * reach))
+    e = e.withColumn("cz", F.explode(F.sequence(cell(F.least(z0, z1) - 1e-6), cell(F.greatest(z0, z1) + 1e-6))))
+    t = ((F.col("x") - F.col("ax")) * dx + (F.col("z") - F.col("az")) * dz) / (dx * dx + dz * dz)
+    pairs = tips.join(e, ["cx", "cz"]).where("id <> a AND id <> b AND (ax <> bx OR az <> bz)").withColumn("t", t).where("t BETWEEN 0.02 AND 0.98")
+    d = F.sqrt(F.pow(F.col("x") - F.col("ax") - F.col("t") * dx, 2) + F.pow(F.col("z") - F.col("az") - F.col("t") * dz, 2))
+    return pairs.withColumn("d", d).where(F.col("d") <= reach).select("id", "a", "b", "t", "d").distinct()
+
+
+def _project(p, a, b):
+    """(distance, t) of p from the line a to b."""
+    dx, dz = b[0] - a[0], b[1] - a[1]
+    t = ((p[0] - a[0]) * dx + (p[1] - a[1]) * dz) / (dx * dx + dz * dz) if dx or dz else -1.0
+    return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dz), t
+
+
+def enters(p: tuple[float, float], q: tuple[float, float], ring: list) -> bool:
+    """Whether the segment p to q crosses the ring or has an end in it."""
+    side = lambda a, b, c: (v := (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])) and math.copysign(1, v)
+    sides = list(zip(ring, [*ring[1:], ring[0]]))
+    inside = lambda x, z: sum((a[1] > z) != (b[1] > z) and x < (b[0] - a[0]) * (z - a[1]) / (b[1] - a[1]) + a[0] for a, b in sides) % 2
+    return bool(inside(*p) or inside(*q)) or any(side(p, q, a) != side(p, q, b) and side(a, b, p) != side(a, b, q) for a, b in sides)
+
+
+def _metres_round(nodes: dict, graph: dict, start: int, goal: int, limit: float) -> bool:
+    """Whether the cheapest way from start to goal is longer than limit metres, or there is none."""
+    heap, done = [(0.0, 0.0, start)], set()
+    while heap:
+        cost, metres, n = heapq.heappop(heap)
+        if n == goal:
+            return metres > limit
+        if n not in done:
+            done.add(n)
+            for m, w in graph.get(n, {}).items():
+                heapq.heappush(heap, (cost + w, metres + math.dist(nodes[n], nodes[m]), m))
+    return True
+
+
+def apply_bridges(candidates: list[tuple[int, int, int, float, float]], nodes: dict, edges: dict[int, dict[int, float]], walls: dict[int, list], reach: float, detour: float = 5.0) -> list[tuple]:
+    """(id, a, b, x, z, d) of the bridges taken: loose ends in order of ids, each judged on the graph with the bridges before it.
+
+    Only the edge nearest to a tip counts, also one a bridge or a split has made; it must still be there, the
+    bridge must enter no wall, and the way round to a must be longer than detour times the gap. Edges
+    made here have a new node, below zero. nodes and edges are changed.
+    """
+    of: dict[int, list] = {}
+    for k, a, b, _, d in candidates:
+        of.setdefault(k, []).append((d, a, b))
+    made, taken = [], []
+    tips = sorted(k for k, v in edges.items() if len(v) == 1) if candidates else []
+    for tip in tips:
+        best = min(of.get(tip, []), default=None)
+        for a, b in made:
+            d, t = _project(nodes[tip], nodes[a], nodes[b])
+            if tip not in (a, b) and 0.02 <= t <= 0.98 and d <= reach and (best is None or d < best[0]):
+                best = (d, a, b)
+        if best is None or best[2] not in edges.get(best[1], {}):
+            continue
+        d, a, b = best
+        t = _project(nodes[tip], nodes[a], nodes[b])[1]
+        foot = tuple(nodes[a][i] + t * (nodes[b][i] - nodes[a][i]) for i in (0, 1))
+        if any(enters(nodes[tip], foot, ring) for ring in walls.get(tip, [])) or not _metres_round(nodes, edges, tip, a, detour * d):
+            continue
+        mid = -1 - len(taken)
+        nodes[mid] = foot
+        del edges[a][b], edges[b][a]
+        for end in (a, b, tip):
+            edges.setdefault(end, {})[mid] = edges.setdefault(mid, {})[end] = math.dist(nodes[end], foot)
+            made.append((end, mid))
+        taken.append((tip, a, b, *foot, d))
+    return taken
+
+
+def bridge_gaps(nodes: DataFrame, edges: DataFrame, rings: DataFrame, reach: float, detour: float = 5.0) -> DataFrame:
+    """(id, a, b, x, z, d): bridges from loose ends to x, z inside of the edges a to b. rings: walls that none may enter.
+
+    Candidates and walls near tips come from joins; the sequential acceptance runs on the driver,
+    which reads the graph only if there are candidates.
+    """
+    from geoloom.operators.spatial import ring_distance_join
+
+    spark = nodes.sparkSession
+    nodes, edges = materialize(nodes, "nodes"), materialize(edges, "edges")
+    found = [] if loose_ends(edges).isEmpty() else [tuple(c) for c in bridge_candidates(nodes, edges, reach).collect()]
+    rows: list[tuple] = []
+    if found:
+        walls: dict[int, list] = {}
+        tips = loose_ends(edges).join(nodes, "id").select("id", "x", "z")
+        for k, ring in ring_distance_join(tips, rings.select("ring"), reach).select("id", "ring").collect():
+            walls.setdefault(k, []).append([tuple(p) for p in ring])
+        graph: dict[int, dict[int, float]] = {}
+        for a, b, w in edges.select("src", "dst", "w").toLocalIterator():
+            graph.setdefault(a, {})[b] = w
+        rows = apply_bridges(found, {k: (x, z) for k, x, z in nodes.select("id", "x", "z").toLocalIterator()}, graph, walls, reach, detour)
+    discard(nodes, edges)
+    return spark.createDataFrame(rows, "id long, a long, b long, x double, z double, d double")
 
 
 def accept_bridges(candidates: list[tuple[int, int, float]], edges: dict[int, list[tuple[int, float]]], nodes: dict[int, tuple[float, float]], detour: float = 5.0) -> list[tuple[int, int, float]]:

@@ -332,7 +332,7 @@ def i1(spark, sf):
 @query("i2_bridge_candidates")
 def i2(spark, sf):
     nodes, edges = walk(spark, sf)
-    return graph.bridge_candidates(nodes, edges, 60.0).select("id", "other", r(F.col("d"), 4).alias("d"))
+    return graph.bridge_gaps(nodes, edges, fx.footprints(spark, sf), 60.0).select("id", "a", "b", r(F.col("x"), 4).alias("x"), r(F.col("z"), 4).alias("z"), r(F.col("d"), 4).alias("d"))
 
 
 @query("i3_many_source_paths")

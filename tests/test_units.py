@@ -108,6 +108,38 @@ def test_many_source_distances_match_single_paths(spark):
     assert got[(0, 6)] == 2.5 and got[(0, 5)] == 3.5 and got[(0, 3)] == 3.0
 
 
+def test_bridge_candidates_match_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    place = {k: (rng.uniform(0, 400), rng.uniform(0, 400)) for k in range(80)} | {80: (120.0, 10.0), 81: (120.0, 390.0)}
+    pairs = {tuple(sorted(rng.sample(range(80), 2))) for _ in range(60)} | {(80, 81)}
+    both = [(*k, 1.0) for a, b in pairs for k in ((a, b), (b, a))]
+    degree = {k: sum(e[0] == k for e in both) for k in place}
+    want = {}
+    for k in (k for k, n in degree.items() if n == 1):
+        for a, b in pairs:
+            d, t = graph._project(place[k], place[a], place[b])
+            if k not in (a, b) and 0.02 <= t <= 0.98 and d <= 30:
+                want[k, a, b] = d
+    nodes = spark.createDataFrame([(k, *p) for k, p in place.items()], "id long, x double, z double")
+    rows = graph.bridge_candidates(nodes, spark.createDataFrame(both, "src long, dst long, w double"), 30.0).collect()
+    got = {(r.id, r.a, r.b): r.d for r in rows}
+    assert len(want) > 20 and len(rows) == len(got) and got.keys() == want.keys() and all(abs(got[k] - d) < 1e-6 for k, d in want.items())
+
+
+def test_bridges_split_edges_and_respect_walls(spark):
+    """Tips: 2 beside the middle of a long edge; 4 behind a wall; 6 with a short way round; 8 meets the bridge of 2."""
+    place = {0: (0, 0), 1: (1000, 0), 2: (500, 20), 3: (500, 200), 4: (300, 20), 5: (300, 200), 6: (980, 25), 7: (1000, 30), 8: (510, 10), 9: (700, 12)}
+    lines_ = [(0, 1), (2, 3), (4, 5), (6, 7), (1, 7), (8, 9)]
+    both = [(a, b, float(math.dist(place[a], place[b]))) for p in lines_ for a, b in (p, p[::-1])]
+    nodes = spark.createDataFrame([(k, float(x), float(z)) for k, (x, z) in place.items()], "id long, x double, z double")
+    walls = spark.createDataFrame([([[290.0, 8.0], [310.0, 8.0], [310.0, 12.0], [290.0, 12.0]],)], "ring array<array<double>>")
+    got = {r.id: tuple(r)[1:] for r in graph.bridge_gaps(nodes, spark.createDataFrame(both, "src long, dst long, w double"), walls, 30.0).collect()}
+    assert got[2] == (0, 1, 500.0, 0.0, 20.0) and 4 not in got and 6 not in got
+    assert 8 not in got  # its nearest edge, 0 to 1, is split by the bridge of 2, and no other is nearer
+
+
 def test_routes_cross_regions_and_use_long_edges(spark):
     """Shortest ways of random legs against a plain search; nodes lie on a line, so that a way may leave and come back."""
     import random
