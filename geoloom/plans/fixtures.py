@@ -1,6 +1,7 @@
 """Spatial tables derived by formula from the driver's tables, as DataFrames and as SQL.
 
-The world is a square of 1000 m. All rows of the source tables take part.
+The world is a square of 1000 m. All rows of the source tables take part, but only each tenth part has
+a footprint, in Spark and in SQL.
 """
 
 from __future__ import annotations
