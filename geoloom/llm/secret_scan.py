@@ -74,35 +74,26 @@ def link(parts: list[tuple[int, int, str]], text: bytes) -> tuple[list[tuple[int
     starts = {k: [p[0] for p in v] for k, v in by_role.items()}
     longest = {k: max((e - s for s, e, _ in v), default=0) for k, v in by_role.items()}
 
-    def nearest(p, kind):
-        """The closest part of that role in p's scope."""
+    def partners(p, kind):
+        """The parts of that role in p's scope, nearest first."""
         lo = bisect.bisect_left(blanks, p[0])
         top = blanks[lo] if lo < len(blanks) else len(text)
         bottom = blanks[lo - 1] if lo else -1
-        own, best = by_role[kind], None
-        mid = bisect.bisect_left(starts[kind], p[0])
-        for step, edge in ((-1, mid - 1), (1, mid)):
-            k = edge
-            while 0 <= k < len(own):
-                q = own[k]
-                gap = max(q[0] - p[1], p[0] - q[1])
-                if (q[0] - p[1] if step > 0 else p[0] - q[0] - longest[kind]) > SCOPE_CHARS:
-                    break
-                if gap <= SCOPE_CHARS and bottom < q[0] < top and gap >= 0:
-                    best = min(best, (gap, q)) if best else (gap, q)
-                    break
-                k += step
-        return best and best[1]
+        own = by_role[kind]
+        first = bisect.bisect_left(starts[kind], p[0] - SCOPE_CHARS - longest[kind])
+        last = bisect.bisect_right(starts[kind], p[1] + SCOPE_CHARS)
+        gap = lambda q: max(q[0] - p[1], p[0] - q[1])
+        return sorted((q for q in own[first:last] if 0 <= gap(q) <= SCOPE_CHARS and bottom < q[0] < top), key=lambda q: (gap(q), q))
 
     weak, links = [], []
     for p in parts:
         if role[p[2]] == "secret":
-            i, e = nearest(p, "id"), nearest(p, "endpoint")
-            if i or e:
-                links.append((p, i, e))
+            ids, endpoints = partners(p, "id"), partners(p, "endpoint")
+            if ids or endpoints:
+                links += [(p, i, e) for i in ids or [None] for e in endpoints or [None]]
                 if p[2] == "key":
                     weak.append(p)
-        elif p[2] == "user" and nearest(p, "secret") or p[2] == "endpoint" and nearest(p, "secret") and nearest(p, "id"):
+        elif p[2] == "user" and partners(p, "secret") or p[2] == "endpoint" and partners(p, "secret") and partners(p, "id"):
             weak.append(p)
     return weak, links
 

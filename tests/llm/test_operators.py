@@ -223,6 +223,28 @@ def test_plans_take_up_all_pieces(histogram):
     assert (sum(c * m for c, m in plan) == counts).all() and all((c * lengths).sum() <= 64 for c, _ in plan)
 
 
+def test_links_have_every_partner_in_scope():
+    rng = random.Random(6)
+    role = {"assign": "secret", "hex": "secret", "key": "secret", "access": "id", "user": "id", "endpoint": "endpoint"}
+    most = 0
+    for _ in range(200):
+        text = bytearray(b"x" * 1500)
+        for at in (rng.randrange(1400) for _ in range(2)):
+            text[at : at + 3] = b"\n \n"
+        parts = sorted({(s, s + rng.randint(3, 90), rng.choice(secret_scan.KINDS)) for s in (rng.randrange(1400) for _ in range(12))})
+        blanks = [m.start() for m in secret_scan._BLANK.finditer(bytes(text))]
+
+        def near(p, kind):
+            gap = lambda q: max(q[0] - p[1], p[0] - q[1])
+            return [q for q in parts if role[q[2]] == kind and 0 <= gap(q) <= 200 and not any(q[0] <= b < p[0] or p[0] <= b <= q[0] for b in blanks)]  # noqa: B023
+
+        want = [(p, i, e) for p in parts if role[p[2]] == "secret" for ids, ends in [(near(p, "id"), near(p, "endpoint"))] if ids or ends for i in ids or [None] for e in ends or [None]]
+        got = secret_scan.link(parts, bytes(text))[1]
+        most = max(most, len(want))
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    assert most > 4
+
+
 def _fewest(lengths, counts, capacity):
     """Sequences of a best packing, by trying all configurations that hold the longest piece left."""
 
