@@ -6,6 +6,9 @@ so tokenising, hashing and winnowing cost a few numpy passes instead of a Python
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
+
 import numpy as np
 
 U64 = np.uint64
@@ -30,6 +33,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release() -> None:
+    """Give freed memory back to the system; allocators otherwise keep what the largest batch needed."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _keys(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
 
@@ -123,6 +136,19 @@ class Words:
         keys = _pos_keys(int(lens.max()))
         return mix(np.add.reduceat((self.buf[src].astype(U64) + U64(1)) * keys[pos], at) + lens.astype(U64) * U64(0xD6E8FEB86659FD93))
 
+    def keyed(self, secret: bytes) -> np.ndarray:
+        """A keyed 64-bit digest of each word: distinct words are told apart by their bytes and digested once each."""
+        import pyarrow as pa
+
+        lens = self.ends - self.starts
+        if not len(lens):
+            return np.zeros(0, U64)
+        at = np.cumsum(lens) - lens
+        src = np.arange(int(lens.sum()), dtype=np.int64) + np.repeat(self.starts - at, lens)
+        words = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(np.append(at, lens.sum()).astype(np.int64)), pa.py_buffer(self.buf[src])]).dictionary_encode()
+        digests = b"".join([hashlib.blake2b(x, digest_size=8, key=secret).digest() for x in words.dictionary.to_pylist()])
+        return np.frombuffer(digests, U64)[np.asarray(words.indices)]
+
     def remaining(self) -> np.ndarray:
         """For each word, the number of words from it to the end of its document."""
         return self.first[self.doc + 1] - np.arange(len(self.starts))
@@ -155,13 +181,14 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def leftmost_minima(gram: np.ndarray, w: int) -> np.ndarray:
     """For each run of w consecutive grams, where its smallest (leftmost of equal) gram is.
 
-    Compared by 40 bits of the hash, so at most 2**24 grams at once.
+    Compared by 40 bits of the hash, with the place in the lower bits; longer arrays go by pieces.
     """
-    assert len(gram) < 1 << 24
-    if len(gram) < w:
-        return np.zeros(0, np.int64)
-    key = (gram & ~U64(0xFFFFFF)) | np.arange(len(gram), dtype=U64)
-    return (sliding_min(key, w) & U64(0xFFFFFF)).astype(np.int64)
+    out, step = [np.zeros(0, np.int64)], (1 << 24) - w
+    for a in range(0, len(gram) - w + 1, step):
+        part = gram[a : a + step + w - 1]
+        key = (part & ~U64(0xFFFFFF)) | np.arange(len(part), dtype=U64)
+        out.append((sliding_min(key, w) & U64(0xFFFFFF)).astype(np.int64) + a)
+    return np.concatenate(out)
 
 
 def distinct(x: np.ndarray) -> np.ndarray:

@@ -1,150 +1,219 @@
 """Substring dedup by relative Lempel-Ziv parsing over words.
 
 Every document is parsed relative to all documents with smaller ids. The reference is indexed in
-blocks: content-chosen anchors (minimizers: of the grams in each window, the one with the smallest
-hash) find which windows can have been seen elsewhere, and an index block, a range of window
-hashes, knows the first document of each such window. The parse is greedy: a factor goes on as long as
-the next word still continues a window of the same first document; factors of a window's length or
-more are duplicate spans. Windows that begin inside a factor and end behind it, which a greedy parse
-would step over, are looked up one by one.
+blocks of text. Content-chosen anchors (minimizers: of the grams in each window, the one with the
+smallest hash) say in which block a window's text lies: equal windows have equal anchors. Where an
+anchor's gram occurs in more than one document, the words around it go to the gram's block as text;
+the block indexes its windows by their words and answers with the first document of each. So a
+hash only proposes where to look, words decide.
+
+The parse of a document is greedy: a factor goes on as long as the next word still continues a
+window of the same first document. Factors have a window's length at least, and they are the
+duplicate spans. Windows that begin inside a factor and end behind it, which a greedy parse would
+step over, are looked up at the factor's boundary and begin factors of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.exchange import Chunk, bucket_bits, chunked, chunks_of, pack_chunk, planes, split, spread, unplanes
-from geoloom.llm.kernels import NOT_SPACE, U64, Words, cover, distinct, grams, leftmost_minima, mix, runs
-from geoloom.session import discard, free_shuffles, materialize, ship_package
+from geoloom.llm.exchange import HOT, HOT_ROWS, Chunk, bucket_bits, chunked, chunks_of, gram_states, pack_chunk, received, send, split, spread, squeeze, states_of, unsqueeze
+from geoloom.llm.kernels import NOT_SPACE, U64, Words, grams, leftmost_minima, mix, release, runs
+from geoloom.session import discard, materialize, ship_package
 
 WINDOW = 13
 #: Words of an anchor's gram; a window has WINDOW - GRAM + 1 of them.
 GRAM = 6
+#: Windows that a block has in its index at once.
+INDEX_WINDOWS = 250_000
+#: Bytes of the keyed digests that stand for windows at hot anchors.
+DIGEST = 16
 _SPANS = "array<struct<start:bigint,stop:bigint>>"
 _FACTORS = "array<struct<start:bigint,length:bigint,source:bigint>>"
 RESULT = f"id long, n_words long, n_removed long, kept_sha256 string, spans {_SPANS}, factors {_FACTORS}"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _FACTOR = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source", pa.int64())]))
 _MARKED = pa.schema(
-    [("kind", pa.string()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()), ("keys", pa.binary()), ("docs", pa.binary()),
-     ("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
+    [("kind", pa.string()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()), ("at", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()),
+     ("id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string())]
 )
-_MARKED_SCHEMA = "kind string, bucket int, chunk long, ids binary, known binary, sizes binary, text binary, keys binary, docs binary, id long, n_words long, n_removed long, kept_sha256 string"
+_MARKED_SCHEMA = "kind string, bucket int, chunk long, ids binary, known binary, sizes binary, text binary, at binary, counts binary, places binary, id long, n_words long, kept_sha256 string"
 
 
 class _View:
-    """A chunk's words, window starts, anchors of windows and their 64-bit gram hashes."""
+    """A chunk's words and its anchors: first window, number of windows and gram of each."""
 
-    def __init__(self, chunk: Chunk, window: int, gram: int, anchors: bool = True):
+    def __init__(self, chunk: Chunk, window: int, gram: int):
         self.words = w = Words(chunk.buf, chunk.offs, NOT_SPACE)
-        self.h = w.hashes()
-        self.starts = np.flatnonzero(w.remaining() >= window)  # windows of one document
-        if anchors:
-            g = mix(grams(self.h, gram))
-            where = leftmost_minima(g, window - gram + 1)
-            self.anchor_of = where[self.starts] if len(self.starts) else np.zeros(0, np.int64)
-            self.anchors = distinct(self.anchor_of)
-            # Minima are small numbers: mixed again, or they would all fall into the first buckets.
-            self.gram = mix(g[self.anchors] + U64(0x9E3779B97F4A7C15)) if len(self.anchors) else np.zeros(0, U64)
-
-    def windows(self, at: np.ndarray, window: int) -> np.ndarray:
-        """Hashes of the windows that start there."""
-        out = grams(self.h, window)
-        return out[at] if len(at) else np.zeros(0, U64)
-
-
-def _digest(view: _View, chunk: Chunk, d: int, removed: np.ndarray | None) -> str:
-    w = view.words
-    a, b = int(w.first[d]), int(w.first[d + 1])
+        h = w.hashes()
+        starts = np.flatnonzero(w.remaining() >= window)  # windows of one document
+        g = mix(grams(h, gram))
+        where = leftmost_minima(g, window - gram + 1)[starts] if len(starts) else np.zeros(0, np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (starts[1:] != starts[:-1] + 1)])) if len(where) else np.zeros(0, np.int64)
+        self.first, self.count = starts[begin], np.diff(np.append(begin, len(where)))
+        self.doc = w.doc[self.first] if len(begin) else np.zeros(0, np.int64)
+        # Minima are small numbers: mixed again, or they would all fall into the first buckets.
+        self.gram = mix(g[where[begin]] + U64(0x9E3779B97F4A7C15)) if len(begin) else np.zeros(0, U64)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct grams, and how many documents have each."""
+        order = np.lexsort((self.doc, self.gram))
+        g, d = self.gram[order], self.doc[order]
+        new = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        pair = new.copy()
+        pair[1:] |= d[1:] != d[:-1]
+        return g[first], np.add.reduceat(pair.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+
+    def plain(self) -> tuple[bytes, np.ndarray]:
+        """All words with one space behind each, and where each begins."""
+        w = self.words
+        lens = w.ends - w.starts
+        at = np.cumsum(lens + 1) - lens - 1
+        out = np.full(int(lens.sum()) + len(lens), 0x20, np.uint8)
+        pos = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
+        out[pos + np.repeat(at, lens)] = w.buf[pos + np.repeat(w.starts, lens)]
+        return out.tobytes(), np.append(at, len(out))
+
+
+def _digest(words: Words, d: int, removed: np.ndarray | None) -> str:
+    a, b = int(words.first[d]), int(words.first[d + 1])
     keep = np.arange(a, b) if removed is None else np.flatnonzero(~removed[a:b]) + a
-    raw = w.buf
-    return hashlib.sha256(b" ".join([raw[s:e].tobytes() for s, e in zip(w.starts[keep].tolist(), w.ends[keep].tolist())])).hexdigest()
-
-
-def _ask_anchors(bits: int, window: int, gram: int):
-    """A row for each chunk and bucket: its sorted anchors, and which of them lie in two of its documents."""
-
-    def run(batches):
-        for batch in batches:
-            for chunk in chunks_of(batch):
-                v = _View(chunk, window, gram)
-                keys, first, inverse = np.unique(v.gram, return_index=True, return_inverse=True)
-                doc = v.words.doc[v.anchors]
-                many = np.zeros(len(keys), bool)
-                many[inverse[doc != doc[first[inverse]]]] = True
-                parts = split(keys, bits)
-                low = (keys >> U64(32 - bits)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _, _ in parts], pa.int32()), pa.array([chunk.number] * len(parts), pa.int64()), pa.array([low[i:j].tobytes() for _, i, j in parts], pa.binary()), pa.array([np.packbits(many[i:j]).tobytes() for _, i, j in parts], pa.binary())],
-                    ["bucket", "chunk", "keys", "many"],
-                )
-
-    return run
-
+    return hashlib.sha256(b" ".join([words.buf[s:e].tobytes() for s, e in zip(words.starts[keep].tolist(), words.ends[keep].tolist())])).hexdigest()
 
-def _answer_anchors(table):
-    """For each asking chunk: which of its anchors are in another document."""
-    keys = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]
-    many = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[: len(k)] for x, k in zip(table.column("many"), keys)])
-    whole, inverse, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    shared = (counts > 1) | (np.bincount(inverse, many, len(whole)) > 0)
-    flags = [np.packbits(f).tobytes() for f in spread(shared[inverse], [len(k) for k in keys])]
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "flags": pa.array(flags, pa.binary())})
 
+def _mark(bits: int, window: int, gram: int, secret: bytes):
+    """Sends the words around shared anchors to their blocks and keeps the text of their documents; finishes the others.
 
-def _mark(bits: int, window: int, gram: int):
-    """Finishes documents without candidate windows; sends the windows of the others to index blocks and keeps their text."""
+    Entries are distinct in a chunk, with the smallest id that has them. At hot anchors every window
+    is an entry of its own: a keyed digest, dealt out by itself, so that no block gets all that
+    stands at one gram.
+    """
 
     def run(left, right):
         rows: list[dict] = []
-        answers = dict(zip(right.column("bucket").to_pylist(), right.column("flags").to_pylist()))
+        answers = dict(zip(right.column("bucket").to_pylist(), right.column("states").to_pylist()))
         for chunk in chunks_of(left):
             v = _View(chunk, window, gram)
-            keys, inverse = np.unique(v.gram, return_inverse=True)
-            shared = np.zeros(len(keys), bool)
-            for b, i, j in split(keys, bits):
-                shared[i:j] = np.unpackbits(np.frombuffer(answers[b], np.uint8))[: j - i]
-            candidate = shared[inverse][np.searchsorted(v.anchors, v.anchor_of)] if len(v.starts) else np.zeros(0, bool)
-            at = v.starts[candidate]
-            doc = v.words.doc[at]
-            open_ = np.zeros(v.words.n, bool)
-            open_[doc] = True
-            h = v.windows(at, window)
-            order = np.lexsort((chunk.ids[doc], h))
-            h, ids = h[order], chunk.ids[doc][order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            h, ids = h[first], ids[first]  # the smallest id for each
-            rows += [{"kind": "window", "bucket": b, "chunk": chunk.number, "keys": h[i:j].tobytes(), "docs": planes(ids[i:j])} for b, i, j in split(h, bits)]
+            w = v.words
+            keys, _ = v.grams()
+            state = states_of(keys, bits, answers)[np.searchsorted(keys, v.gram)] if len(keys) else np.zeros(0, np.uint8)
+            text, at = v.plain()
+            seen: dict[bytes, list] = {}  # entry -> smallest id, key, windows, order; digests are told from words by their key
+            digests: dict[bytes, list] = {}
+            used: list[list] = []
+            first, count = [], []
+            some = np.flatnonzero(state)
+            for a, n, key, d, hot in zip(v.first[some].tolist(), v.count[some].tolist(), v.gram[some].tolist(), chunk.ids[v.doc[some]].tolist(), (state[some] == HOT).tolist()):
+                for k in range(a, a + n) if hot else (a,):
+                    many = 1 if hot else n
+                    part = text[at[k] : at[k + many + window - 1] - 1]
+                    if hot:
+                        part = hashlib.blake2b(part, digest_size=DIGEST, key=secret).digest()
+                        key = int.from_bytes(part[:8], "little")
+                    entry = (digests if hot else seen).setdefault(part, [d, key, many, 0])
+                    entry[0] = min(entry[0], d)
+                    used.append(entry)
+                    first.append(k)
+                    count.append(many)
+            open_ = np.zeros(w.n, bool)
+            open_[v.doc[some]] = True
+            # Entries in the order in which they are sent: by bucket, words before digests.
+            entries = [*seen.items(), *digests.items()]
+            key = np.array([e[1] for _, e in entries], U64)
+            order = np.argsort(key >> U64(64 - bits), kind="stable")
+            windows = np.array([e[2] for _, e in entries], np.int64)[order]
+            place = np.cumsum(windows) - windows
+            for k, p in zip(order.tolist(), place.tolist()):
+                entries[k][1][3] = p
+            for b, i, j in split(np.sort(key >> U64(64 - bits)) << U64(64 - bits), bits):
+                mine = order[i:j]
+                words_ = int((mine < len(seen)).sum())
+                body = b"\n".join([entries[k][0] for k in mine[:words_]])
+                rows.append(
+                    {"kind": "entries", "bucket": b, "chunk": chunk.number, "text": squeeze(body), "sizes": squeeze(b"".join([entries[k][0] for k in mine[words_:]])),
+                     "ids": send(np.array([entries[k][1][0] for k in mine], "<i8")), "at": squeeze(((key[mine] >> U64(56 - bits)) & U64(255)).astype(np.uint8).tobytes())}
+                )
             keep = np.flatnonzero(open_)
             if len(keep):
-                mask = np.zeros(len(v.h), bool)
-                mask[at] = True
-                w = v.words
-                flags = np.packbits(np.concatenate([mask[w.first[d] : w.first[d + 1]] for d in keep]))
-                text = b"".join(chunk.buf[chunk.offs[d] : chunk.offs[d + 1]].tobytes() for d in keep)
-                row = pack_chunk(chunk.number, chunk.ids[keep], chunk.known[keep], np.diff(chunk.offs)[keep], text)
-                rows.append(dict(zip(("chunk", "ids", "known", "sizes", "text"), row)) | {"kind": "chunk", "keys": flags.tobytes()})
-            words = np.diff(v.words.first)
+                shift = np.cumsum(np.where(open_, 0, np.diff(w.first)))  # words of finished documents before
+                body = b"".join(chunk.raw[chunk.offs[d] : chunk.offs[d + 1]] for d in keep)
+                row = pack_chunk(chunk.number, chunk.ids[keep], chunk.known[keep], np.diff(chunk.offs)[keep], body)
+                doc = np.repeat(v.doc[some], np.where(state[some] == HOT, v.count[some], 1))
+                rows.append(
+                    dict(zip(("chunk", "ids", "known", "sizes", "text"), row))
+                    | {"kind": "chunk", "at": send((np.array(first, np.int64) - shift[doc]).astype("<i4")), "counts": squeeze(np.array(count, np.uint8).tobytes()), "places": send(np.array([e[3] for e in used], "<i4"))}
+                )
+            words = np.diff(w.first)
             for d in np.flatnonzero(~open_).tolist():
-                rows.append({"kind": "done", "id": int(chunk.ids[d]) if chunk.known[d] else None, "n_words": int(words[d]), "n_removed": 0, "kept_sha256": _digest(v, chunk, d, None)})
-        return pa.Table.from_pylist(rows, schema=_MARKED)
+                rows.append({"kind": "done", "id": int(chunk.ids[d]) if chunk.known[d] else None, "n_words": int(words[d]), "kept_sha256": _digest(w, d, None)})
+        out = pa.Table.from_pylist(rows, schema=_MARKED)
+        release()
+        return out
 
     return run
 
 
-def _answer_windows(table):
-    """For each asking chunk: the smallest id that has each of its windows."""
-    keys = [np.frombuffer(x.as_py(), U64) for x in table.column("keys")]
-    ids = np.concatenate([unplanes(x.as_py(), np.int64) for x in table.column("docs")])
-    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    least = np.full(int(inverse.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, inverse, ids)
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "docs": pa.array([planes(x) for x in spread(least[inverse], [len(k) for k in keys])], pa.binary())})
+def first_holders(texts: list[bytes], owners: np.ndarray, parts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest owner of each window's words, text of each window) over texts of words with single spaces.
+
+    parts: a number below 256 for each text, the same for texts that share a window; the index holds
+    one range of them at a time.
+    """
+    body = np.frombuffer(b"\n".join(texts), np.uint8)
+    gap = np.flatnonzero((body == 0x20) | (body == 0x0A))
+    starts, ends = np.concatenate([[0], gap + 1]), np.append(gap, len(body))
+    text = np.concatenate([[0], np.cumsum(body[gap] == 0x0A)])
+    at = np.flatnonzero(text[: len(text) - window + 1] == text[window - 1 :]) if len(text) >= window else np.zeros(0, np.int64)
+    text = text[at]
+    raw, least = body.tobytes(), np.empty(len(at), np.int64)
+    ranges = -(-len(at) // INDEX_WINDOWS) or 1
+    part = parts[text].astype(np.int64) * ranges >> 8
+    for p in range(ranges):
+        mine = np.flatnonzero(part == p)
+        index: dict[bytes, int] = {}
+        windows = [raw[a:b] for a, b in zip(starts[at[mine]].tolist(), ends[at[mine] + window - 1].tolist())]
+        for x, d in zip(windows, owners[text[mine]].tolist()):
+            if d < index.get(x, d + 1):
+                index[x] = d
+        least[mine] = [index[x] for x in windows]
+    return least, text
+
+
+def _look_up(window: int):
+    """An index block: the first document of each window that chunks ask about."""
+
+    def run(table):
+        texts, owners, parts, digests, digest_owners, shape = [], [], [], [], [], []
+        for body, marks, ids, at in zip(*(table.column(c) for c in ("text", "sizes", "ids", "at"))):
+            body, marks = unsqueeze(body.as_buffer()), unsqueeze(marks.as_buffer())
+            own = received(ids.as_buffer(), "<i8")
+            mine = body.split(b"\n") if body else []
+            shape.append((len(mine), len(own) - len(mine)))
+            texts += mine
+            owners.append(own[: len(mine)])
+            parts.append(np.frombuffer(unsqueeze(at.as_buffer()), np.uint8)[: len(mine)])
+            digests += [marks[k : k + DIGEST] for k in range(0, len(marks), DIGEST)]
+            digest_owners.append(own[len(mine) :])
+        least, text = first_holders(texts, np.concatenate(owners), np.concatenate(parts), window) if texts else (np.zeros(0, np.int64),) * 2
+        index: dict[bytes, int] = {}
+        for x, d in zip(digests, np.concatenate(digest_owners).tolist()):
+            index[x] = min(index.get(x, d), d)
+        found = np.array([index[x] for x in digests], np.int64)
+        edge = np.searchsorted(text, np.cumsum([0, *(n for n, _ in shape)]))
+        other = np.cumsum([0, *(m for _, m in shape)])
+        out = [send(np.concatenate([least[edge[k] : edge[k + 1]], found[other[k] : other[k + 1]]])) for k in range(len(shape))]
+        out = pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "least": pa.array(out, pa.binary())})
+        release()
+        return out
+
+    return run
 
 
 def parse(source: np.ndarray, known: np.ndarray, window: int) -> list[tuple[int, int, int]]:
@@ -168,58 +237,60 @@ def parse(source: np.ndarray, known: np.ndarray, window: int) -> list[tuple[int,
     return factors
 
 
-def _finish(bits: int, window: int):
+def _finish(window: int):
+    """Parses the documents that windows were looked up for."""
+
     def run(left, right):
         rows: list[dict] = []
-        answers = dict(zip(right.column("bucket").to_pylist(), right.column("docs").to_pylist()))
-        for chunk, flags in zip(chunks_of(left), left.column("keys").to_pylist()):
-            v = _View(chunk, window, 1, anchors=False)
-            w = v.words
-            at = np.flatnonzero(np.unpackbits(np.frombuffer(flags, np.uint8))[: len(v.h)])
-            h = v.windows(at, window)
-            keys, inverse = np.unique(h, return_inverse=True)
-            least = np.zeros(len(keys), np.int64)
-            for b, i, j in split(keys, bits):
-                least[i:j] = unplanes(answers[b], np.int64)
-            source = np.zeros(len(v.h), np.int64)
-            source[at] = least[inverse]
-            earlier = np.zeros(len(v.h), bool)
-            earlier[at] = least[inverse] < chunk.ids[w.doc[at]]
-            removed = cover(np.flatnonzero(earlier), window, len(v.h))
+        answers = sorted(zip(right.column("bucket").to_pylist(), right.column("least").to_pylist()))
+        least = np.concatenate([received(x, "<i8") for _, x in answers]) if answers else np.zeros(0, np.int64)
+        for chunk, at, counts, places in zip(chunks_of(left), *(left.column(c).to_pylist() for c in ("at", "counts", "places"))):
+            w = Words(chunk.buf, chunk.offs, NOT_SPACE)
+            count = np.frombuffer(unsqueeze(counts), np.uint8).astype(np.int64)
+            step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            at = np.repeat(received(at, "<i4").astype(np.int64), count) + step
+            source = np.zeros(len(w.starts), np.int64)
+            source[at] = least[np.repeat(received(places, "<i4").astype(np.int64), count) + step]
+            known = np.zeros(len(w.starts), bool)
+            known[at] = source[at] < chunk.ids[w.doc[at]]
+            removed = np.zeros(len(w.starts), bool)
             for d in range(w.n):
                 a, b = int(w.first[d]), int(w.first[d + 1])
+                factors = parse(source[a:b], known[a:b], window) if known[a:b].any() else []
+                for first, length, _ in factors:
+                    removed[a + first : a + first + length] = True
                 s, e = runs(removed[a:b])
-                factors = parse(source[a:b], earlier[a:b], window) if len(s) else []
                 rows.append(
-                    {"id": int(chunk.ids[d]) if chunk.known[d] else None, "n_words": b - a, "n_removed": int((e - s).sum()), "kept_sha256": _digest(v, chunk, d, removed),
+                    {"id": int(chunk.ids[d]) if chunk.known[d] else None, "n_words": b - a, "n_removed": int((e - s).sum()), "kept_sha256": _digest(w, d, removed),
                      "spans": [{"start": x, "stop": y} for x, y in zip(s.tolist(), e.tolist())], "factors": [dict(zip(("start", "length", "source"), f)) for f in factors]}
                 )
-        return pa.Table.from_pylist(rows, schema=pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", _SPAN), ("factors", _FACTOR)]))
+        out = pa.Table.from_pylist(rows, schema=pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", _SPAN), ("factors", _FACTOR)]))
+        release()
+        return out
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept_sha256, spans (removed words) and factors.
 
     A word goes if a window of so many words that covers it also starts in a document with a smaller
     id; windows are judged on the input. A null text has no words. Rows that repeat an id are
     not earlier than one another; a null id is later than any other, and rows with null ids are not
     earlier than one another either. An empty table gives an empty result; other columns are not
-    looked at.
+    looked at. A text of any length is read whole; a task needs memory in proportion to the longest.
     """
     spark = docs.sparkSession
     ship_package(spark)
+    secret = os.urandom(16)
     chunks = chunked(docs, id_col, text_col, "substrings")
     bits = bucket_bits(chunks)
-    asked = chunks.mapInArrow(_ask_anchors(bits, window, gram), "bucket int, chunk long, keys binary, many binary")
-    anchors = materialize(asked.groupBy("bucket").applyInArrow(_answer_anchors, "chunk long, bucket int, flags binary"), "anchors")
-    marked = materialize(chunks.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_mark(bits, window, gram), _MARKED_SCHEMA), "marked")
-    discard(chunks, anchors)
-    free_shuffles(spark)
-    windows = marked.where("kind = 'window'").select("bucket", "chunk", "keys", "docs")
-    first = materialize(windows.groupBy("bucket").applyInArrow(_answer_windows, "chunk long, bucket int, docs binary"), "first")
-    open_ = marked.where("kind = 'chunk'").select("chunk", "ids", "known", "sizes", "text", "keys")
-    finished = open_.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(_finish(bits, window), RESULT)
-    done = marked.where("kind = 'done'").select("id", "n_words", "n_removed", "kept_sha256", F.array().cast(_SPANS).alias("spans"), F.array().cast(_FACTORS).alias("factors"))
+    states = gram_states(chunks, bits, lambda chunk: _View(chunk, window, gram).grams(), "anchors", hot_rows)
+    marked = materialize(chunks.groupBy("chunk").cogroup(states.groupBy("chunk")).applyInArrow(_mark(bits, window, gram, secret), _MARKED_SCHEMA), "marked")
+    discard(chunks, states)
+    entries = marked.where("kind = 'entries'").select("bucket", "chunk", "text", "sizes", "ids", "at")
+    first = materialize(entries.groupBy("bucket").applyInArrow(_look_up(window), "chunk long, bucket int, least binary"), "first")
+    open_ = marked.where("kind = 'chunk'").select("chunk", "ids", "known", "sizes", "text", "at", "counts", "places")
+    finished = open_.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(_finish(window), RESULT)
+    done = marked.where("kind = 'done'").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.array().cast(_SPANS).alias("spans"), F.array().cast(_FACTORS).alias("factors"))
     return done.unionByName(finished).withColumnRenamed("id", id_col)
