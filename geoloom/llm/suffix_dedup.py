@@ -1,39 +1,43 @@
 """Suffix-array dedup of repeated byte strings, built blockwise with cover samples.
 
 Two suffixes that agree for a whole window agree on where its smallest gram lies, so anchors chosen
-that way are a cover: whatever two windows tie, an anchor lies at the same distance in both.
-The anchors are ranked first, all over the corpus, by their gram and by the full context of the
-windows they stand for. Equal ranks resolve the long ties: every window of such an anchor is
-repeated, without sorting. Only where the gram is shared and the context differs, at the edges of
-repeats, are suffixes sorted: one bucket of anchors at a time, by their first PERIOD bytes, ties by
-precomputed ranks at a difference-cover sample; then neighbours are compared over the whole window.
+that way are a cover: whatever two windows tie, an anchor lies at the same distance in both. Where
+an anchor's gram occurs more than once, the bytes of its windows go to the gram's bucket; hashes
+only say in which bucket bytes meet. A bucket first sorts its cover suffixes, the bytes from each
+anchor on and then those before it: equal ranks are the long ties, and resolve all their windows at
+once. Only where a gram is shared and what surrounds it differs, at the edges of repeats, are the
+windows' own suffixes sorted: one block of suffix buckets at a time, by their first PERIOD bytes,
+ties by precomputed ranks at a difference-cover sample of the block; then neighbours are compared
+over the whole window. Memory is bounded by the bucket and the block.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from geoloom.llm.exchange import Chunk, bucket_bits, chunked, chunks_of, pack_chunk, split, spread
-from geoloom.llm.kernels import U64, cover, leftmost_minima, mix, runs
-from geoloom.session import discard, free_shuffles, materialize, ship_package
+from geoloom.llm.exchange import HOT, HOT_ROWS, Chunk, bucket_bits, chunked, chunks_of, gram_states, pack_chunk, received, send, split, squeeze, states_of, unsqueeze
+from geoloom.llm.kernels import U64, cover, leftmost_minima, mix, release, runs
+from geoloom.session import discard, materialize, ship_package
 
 WINDOW = 200
 #: Bytes of an anchor's gram.
 GRAM = 96
-#: Text of a chunk; a byte needs more memory here than elsewhere.
-CHUNK_BYTES = 2 << 20
+#: Text of a chunk, and text whose anchors one bucket gets, about.
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 #: Windows handled at once.
 PIECE = 1 << 16
 #: Period of the difference cover, and a cover of it: every residue is a difference of two of these (fixed values).
 PERIOD = 64
 COVER = (0, 1, 3, 13, 17, 25, 30, 38, 49, 58)
 #: Suffixes sorted at once.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
+#: Bytes of the keyed digests that stand for windows at hot anchors.
+DIGEST = 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POW: list[np.ndarray] = []
@@ -75,7 +79,7 @@ def _pieces(offs: np.ndarray, window: int):
 
 
 class Anchors:
-    """A chunk's anchors: gram hash, context hash, first window and number of windows."""
+    """A chunk's anchors: gram, first window, number of windows, and how far before the anchor the first begins."""
 
     def __init__(self, chunk: Chunk, window: int, gram: int):
         out = []
@@ -86,131 +90,101 @@ class Anchors:
             valid = np.flatnonzero(ends - np.arange(a, b) >= window)
             if not len(valid):
                 continue
-            hasher = _Hasher(buf)
-            g = hasher.grams(gram)
+            g = _Hasher(buf).grams(gram)
             p = leftmost_minima(g, window - gram + 1)[valid]
             begin = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (valid[1:] != valid[:-1] + 1)]))
-            count = np.diff(np.append(begin, len(p)))
-            first, p = valid[begin], p[begin]
-            context = mix(hasher(first, first + count - 1 + window) + count.astype(U64) * U64(0xD6E8FEB86659FD93) + (p - first).astype(U64) * U64(0xA0761D6478BD642F))
+            first, count = valid[begin], np.diff(np.append(begin, len(p)))
             # Minima are small numbers: mixed again, or they would all fall into the first buckets.
-            out.append((mix(g[p] + U64(0x9E3779B97F4A7C15)), context, first + a, count, p - first))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, U64)] * 2 + [np.zeros(0, np.int64)] * 3
-        order = np.lexsort((cols[1], cols[0]))
-        self.gram, self.context, self.first, self.count, self.before = (c[order] for c in cols)
-        new = np.concatenate([[True], (self.gram[1:] != self.gram[:-1]) | (self.context[1:] != self.context[:-1])]) if len(order) else np.zeros(0, bool)
-        #: Distinct (gram, context) pairs: their first entry, and which pair each entry has.
-        self.lead = np.flatnonzero(new)
-        self.pair = np.cumsum(new) - 1
-
-
-UNIQUE, REPEATED, EDGE, WITNESS = 0, 1, 2, 3
-
-
-def _ask(bits: int, window: int, gram: int):
-    def run(batches):
-        for batch in batches:
-            for chunk in chunks_of(batch):
-                x = Anchors(chunk, window, gram)
-                grams_, contexts = x.gram[x.lead], x.context[x.lead]
-                many = np.bincount(x.pair, minlength=len(x.lead)) > 1
-                parts = split(grams_, bits)
-                low = (grams_ >> U64(32 - bits)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _, _ in parts], pa.int32()), pa.array([chunk.number] * len(parts), pa.int64()), *(pa.array([f(i, j) for _, i, j in parts], pa.binary()) for f in (lambda i, j: low[i:j].tobytes(), lambda i, j: contexts[i:j].tobytes(), lambda i, j: np.packbits(many[i:j]).tobytes()))],  # noqa: B023
-                    ["bucket", "chunk", "keys", "contexts", "many"],
-                )
-
-    return run
+            out.append((mix(g[p[begin]] + U64(0x9E3779B97F4A7C15)), first + a, count, p[begin] - first))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, U64)] + [np.zeros(0, np.int64)] * 3
+        self.gram, self.first, self.count, self.before = cols
 
-
-def _answer(table):
-    """Ranks a bucket of cover samples; for each asking chunk, what its pairs of gram and context are."""
-    keys = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]
-    sizes = [len(k) for k in keys]
-    key, context = np.concatenate(keys), np.concatenate([np.frombuffer(x.as_py(), U64) for x in table.column("contexts")])
-    many = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[:n] for x, n in zip(table.column("many"), sizes)]).astype(bool)
-    order = np.lexsort((context, key))
-    k, c = key[order], context[order]
-    new_key = np.concatenate([[True], k[1:] != k[:-1]])
-    new_pair = new_key | np.concatenate([[True], c[1:] != c[:-1]])
-    pair, group = np.cumsum(new_pair) - 1, np.cumsum(new_key) - 1
-    repeated = (np.bincount(pair) > 1) | (np.bincount(pair, many[order]) > 0)
-    pair_group = group[new_pair]
-    contexts_of = np.bincount(pair_group)
-    lonely = np.bincount(pair_group, ~repeated) > 0  # groups with a context seen once
-    mixed = (contexts_of > 1) & lonely
-    state = np.where(repeated, REPEATED, np.where(mixed[pair_group], EDGE, UNIQUE))[pair]
-    # One occurrence of each repeated context stands witness for the edges of its group.
-    state[np.flatnonzero(new_pair)[repeated & mixed[pair_group]]] = WITNESS
-    out = np.empty(len(order), np.uint8)
-    out[order] = state
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "states": pa.array([s.tobytes() for s in spread(out, sizes)], pa.binary())})
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct grams, and how often each occurs."""
+        g = np.sort(self.gram)
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+        return g[first], np.diff(np.append(first, len(g)))
 
 
 _MARKED = pa.schema(
-    [("kind", pa.string()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()), ("marks", pa.binary()), ("asked", pa.binary()),
+    [("kind", pa.string()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()), ("at", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()),
      ("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
 )
 _SPANS = "array<struct<start:bigint,stop:bigint>>"
 RESULT = f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {_SPANS}"
-_MARKED_SCHEMA = f"kind string, bucket int, chunk long, ids binary, known binary, sizes binary, text binary, marks binary, asked binary, {RESULT}"
-_SEGMENT = np.dtype([("bucket", "<i4"), ("doc", "<i4"), ("start", "<i8"), ("count", "<i2"), ("before", "<i2")])
+_MARKED_SCHEMA = f"kind string, bucket int, chunk long, ids binary, known binary, sizes binary, text binary, at binary, counts binary, places binary, {RESULT}"
 
 
-def _result(chunk: Chunk, d: int, removed: np.ndarray) -> dict:
+def _result(chunk: Chunk, d: int, removed: np.ndarray | None) -> dict:
     a, b = int(chunk.offs[d]), int(chunk.offs[d + 1])
-    s, e = runs(removed[a:b])
-    kept = chunk.buf[a:b][~removed[a:b]] if len(s) else chunk.buf[a:b]
-    return {"id": int(chunk.ids[d]) if chunk.known[d] else None, "n_bytes": b - a, "n_removed": int((e - s).sum()), "n_spans": len(s), "kept_sha256": hashlib.sha256(kept.tobytes()).hexdigest(), "spans": [{"start": x, "stop": y} for x, y in zip(s.tolist(), e.tolist())]}
+    s, e = runs(removed[a:b]) if removed is not None else (np.zeros(0, np.int64),) * 2
+    kept = chunk.buf[a:b][~removed[a:b]].tobytes() if len(s) else chunk.raw[a:b]
+    return {"id": int(chunk.ids[d]) if chunk.known[d] else None, "n_bytes": b - a, "n_removed": int((e - s).sum()), "n_spans": len(s), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"start": x, "stop": y} for x, y in zip(s.tolist(), e.tolist())]}
+
 
+def _mark(bits: int, window: int, gram: int, secret: bytes):
+    """Sends the bytes at shared anchors to their buckets and keeps the text of their documents; finishes the others.
 
-def _mark(bits: int, window: int, gram: int):
-    """Marks the windows of anchors whose ranks tie, sends edges to their suffix buckets, finishes documents without edges."""
+    Segments (the bytes of an anchor's windows) are distinct in a chunk, with a note if the chunk has
+    one twice. At hot anchors every window goes by itself, as a keyed digest, so that no bucket gets
+    all that stands at one gram.
+    """
 
     def run(left, right):
         rows: list[dict] = []
         answers = dict(zip(right.column("bucket").to_pylist(), right.column("states").to_pylist()))
         for chunk in chunks_of(left):
             x = Anchors(chunk, window, gram)
-            states = np.zeros(len(x.lead), np.uint8)
-            for b, i, j in split(x.gram[x.lead], bits):
-                states[i:j] = np.frombuffer(answers[b], np.uint8)
-            state = states[x.pair]
-            total = len(chunk.buf)
-            edge = np.zeros(total + 1, np.int64)
-            sure = (state == REPEATED) | (state == WITNESS)
-            np.add.at(edge, x.first[sure], 1)
-            np.add.at(edge, np.minimum(x.first[sure] + x.count[sure] - 1 + window, total), -1)
-            removed = np.cumsum(edge)[:total] > 0
-            # Edges all go; of a repeated context only its lead.
-            lead = np.zeros(len(state), bool)
-            lead[x.lead] = True
-            sent = np.flatnonzero((state == EDGE) | ((state == WITNESS) & lead))
-            doc = np.searchsorted(chunk.offs[1:], x.first[sent], "right")
-            seg = np.empty(len(sent), _SEGMENT)
-            seg["bucket"], seg["doc"], seg["start"] = (x.gram[sent] >> U64(64 - bits)).astype(np.int64), doc, x.first[sent] - chunk.offs[doc]
-            seg["count"], seg["before"] = x.count[sent], x.before[sent]
-            # Witnesses are marked already; only edges wait for an answer, but both are sent.
+            keys, _ = x.grams()
+            state = states_of(keys, bits, answers)[np.searchsorted(keys, x.gram)] if len(keys) else np.zeros(0, np.uint8)
+            seen: dict[bytes, list] = {}  # bytes -> occurrences, key, windows, order, distance to the anchor
+            digests: dict[bytes, list] = {}
+            used: list[list] = []
+            first, count = [], []
+            some = np.flatnonzero(state)
+            for a, n, before, key, hot in zip(x.first[some].tolist(), x.count[some].tolist(), x.before[some].tolist(), x.gram[some].tolist(), (state[some] == HOT).tolist()):
+                for k in range(a, a + n) if hot else (a,):
+                    many = 1 if hot else n
+                    part = chunk.raw[k : k + many - 1 + window]
+                    if hot:
+                        part = hashlib.blake2b(part, digest_size=DIGEST, key=secret).digest()
+                        key = int.from_bytes(part[:8], "little")
+                    entry = (digests if hot else seen).setdefault(part, [0, key, many, 0, before])
+                    entry[0] += 1
+                    used.append(entry)
+                    first.append(k)
+                    count.append(many)
+            doc = np.searchsorted(chunk.offs[1:], np.array(first, np.int64), "right")
             open_ = np.zeros(len(chunk.ids), bool)
-            open_[doc[state[sent] == EDGE]] = True
-            for b, i, j in split(x.gram[sent], bits):
-                part, at = seg[i:j], x.first[sent[i:j]]
-                text = b"".join(chunk.buf[s : s + n - 1 + window].tobytes() for s, n in zip(at.tolist(), part["count"].tolist()))
-                asking = part.copy()
-                asking["doc"] = open_[part["doc"]]
-                rows.append({"kind": "segments", "bucket": b, "chunk": chunk.number, "text": text, "asked": asking.tobytes()})
+            open_[doc] = True
+            # Entries in the order in which they are sent: by bucket, segments before digests.
+            entries = [*seen.items(), *digests.items()]
+            key = np.array([e[1] for _, e in entries], U64) >> U64(64 - bits)
+            order = np.argsort(key, kind="stable")
+            windows = np.array([e[2] for _, e in entries], np.int64)[order]
+            for k, p in zip(order.tolist(), (np.cumsum(windows) - windows).tolist()):
+                entries[k][1][3] = p
+            for b, i, j in split(key[order] << U64(64 - bits), bits):
+                mine = [entries[k] for k in order[i:j].tolist()]
+                segments = int((order[i:j] < len(seen)).sum())
+                shape = np.array([(len(s), e[4]) for s, e in mine[:segments]], "<u2").reshape(-1, 2)
+                rows.append(
+                    {"kind": "entries", "bucket": b, "chunk": chunk.number, "text": squeeze(b"".join([s for s, _ in mine])), "sizes": send(shape[:, 0].copy()), "places": send(shape[:, 1].copy()),
+                     "counts": squeeze(np.array([e[0] > 1 for _, e in mine], np.uint8).tobytes())}
+                )
             keep = np.flatnonzero(open_)
             if len(keep):
-                place = np.full(len(open_), -1)
-                place[keep] = np.arange(len(keep))
-                mine = seg.copy()
-                mine["doc"] = place[seg["doc"]]
-                row = pack_chunk(chunk.number, chunk.ids[keep], chunk.known[keep], np.diff(chunk.offs)[keep], b"".join(chunk.buf[chunk.offs[d] : chunk.offs[d + 1]].tobytes() for d in keep))
-                marks = np.packbits(np.concatenate([removed[chunk.offs[d] : chunk.offs[d + 1]] for d in keep]))
-                rows.append(dict(zip(("chunk", "ids", "known", "sizes", "text"), row)) | {"kind": "chunk", "marks": marks.tobytes(), "asked": mine.tobytes()})
-            rows += [{"kind": "done"} | _result(chunk, d, removed) for d in np.flatnonzero(~open_).tolist()]
-        return pa.Table.from_pylist(rows, schema=_MARKED)
+                size = np.diff(chunk.offs)
+                shift = np.cumsum(np.where(open_, 0, size))  # bytes of finished documents before
+                row = pack_chunk(chunk.number, chunk.ids[keep], chunk.known[keep], size[keep], b"".join(chunk.raw[chunk.offs[d] : chunk.offs[d + 1]] for d in keep))
+                rows.append(
+                    dict(zip(("chunk", "ids", "known", "sizes", "text"), row))
+                    | {"kind": "chunk", "at": send((np.array(first, np.int64) - shift[doc]).astype("<i8")), "counts": squeeze(np.array(count, np.uint8).tobytes()), "places": send(np.array([e[3] for e in used], "<i8"))}
+                )
+            rows += [{"kind": "done"} | _result(chunk, d, None) for d in np.flatnonzero(~open_).tolist()]
+        out = pa.Table.from_pylist(rows, schema=_MARKED)
+        release()
+        return out
 
     return run
 
@@ -253,13 +227,13 @@ def cover_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     return ranks
 
 
-def repeated_suffixes(text: np.ndarray, ranks: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    """Which of the suffixes at these places share their first window bytes with another of them: one block sorted."""
+def repeated_suffixes(text: np.ndarray, ranks: np.ndarray, at: np.ndarray, window: int, bucket: np.ndarray) -> np.ndarray:
+    """Which of the suffixes at these places share their first window bytes with another of them: one block of suffix buckets sorted."""
     to_sample = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])
     residue = at % PERIOD
     words = [_big_endian(text, at, j) for j in range(PERIOD // 8)]
-    order = np.lexsort([ranks[at + to_sample[residue]], residue, *words[::-1]])
-    same = np.ones(max(len(order) - 1, 0), bool)
+    order = np.lexsort([ranks[at + to_sample[residue]], *words[::-1], bucket])
+    same = bucket[order][1:] == bucket[order][:-1]
     for w in words:
         s = w[order]
         same &= s[1:] == s[:-1]
@@ -275,41 +249,95 @@ def repeated_suffixes(text: np.ndarray, ranks: np.ndarray, at: np.ndarray, windo
     return out
 
 
-def _sort_buckets(window: int):
-    """Sorts the suffix buckets of one range of anchors; a bit for each suffix that chunks asked about."""
+def edge_windows(segments: list[bytes], before: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
+    """For each window of each segment: whether it is repeated in another segment of its group. One block."""
+    size = np.array([len(s) for s in segments])
+    count = size - window + 1
+    # Lay the anchors of all segments on the same residue, so that suffixes that tie have equal residues.
+    room = (size + before + 2 * PERIOD - 1) // PERIOD * PERIOD
+    start = np.cumsum(room) - room + (-before) % PERIOD
+    text = np.zeros(int(room.sum()) + 2 * window + 4 * PERIOD, np.uint8)
+    pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    text[pos + np.repeat(start, size)] = np.frombuffer(b"".join(segments), np.uint8)
+    ranks = cover_ranks(text, window)
+    out = np.zeros(int(count.sum()), bool)
+    at = np.arange(len(out)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+    # A suffix bucket: the suffixes that stand alike to one kind of anchor.
+    key = np.repeat(group, count) * (2 * window) + (np.repeat(start + before, count) - at)
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    edges = np.append(np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])), len(order))
+    i = 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + BLOCK // 4, "right")) - 1)
+        block = order[edges[i] : edges[j]]
+        out[block] = repeated_suffixes(text, ranks, at[block], window, ordered[edges[i] : edges[j]])
+        i = j
+    return out
+
+
+def repeated_windows(segments: list[tuple[bytes, bytes]], times: list[int], window: int, gram: int) -> list[np.ndarray]:
+    """For each segment (bytes from its anchor on, bytes before it; how often it occurs), whether each of its windows is repeated.
+
+    The cover suffixes are sorted. Segments of equal rank tie in all their windows; of the others that
+    share a gram, the windows are sorted.
+    """
+    order = sorted(range(len(segments)), key=segments.__getitem__)
+    ranks, totals, leads = np.zeros(len(segments), np.int64), [], []
+    for k in order:
+        if not leads or segments[leads[-1]] != segments[k]:
+            leads.append(k)
+            totals.append(0)
+        totals[-1] += times[k]
+        ranks[k] = len(leads) - 1
+    flags = [np.full(sum(map(len, segments[k])) - window + 1, n > 1) for k, n in zip(leads, totals)]
+    # Ranks of one gram follow one another.
+    new = [r == 0 or segments[leads[r]][0][:gram] != segments[leads[r - 1]][0][:gram] for r in range(len(leads))]
+    group = np.cumsum(new)
+    edges = np.append(np.flatnonzero(new), len(leads))
+    block: list[int] = []
+    size = 0
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if b - a > 1 and any(n == 1 for n in totals[a:b]):
+            block += range(a, b)
+            size += sum(map(len, flags[a:b]))
+        if block and (size >= BLOCK or b == len(leads)):
+            own = [segments[leads[r]] for r in block]
+            found = edge_windows([left + right for right, left in own], np.array([len(left) for _, left in own]), group[block], window)
+            for r, f in zip(block, np.split(found, np.cumsum([len(flags[r]) for r in block])[:-1])):
+                flags[r] = flags[r] | f
+            block, size = [], 0
+    return [flags[r] for r in ranks]
+
+
+def _sort(window: int, gram: int):
+    """Sorts a bucket; a bit for each window that chunks ask about."""
 
     def run(table):
-        segs = [np.frombuffer(x.as_py(), _SEGMENT) for x in table.column("asked")]
-        seg = np.concatenate(segs)
-        count, before = seg["count"].astype(np.int64), seg["before"].astype(np.int64)
-        size = count - 1 + window
-        raw = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("text")])
-        # Lay the anchors of all segments on the same residue, so that suffixes that tie have equal residues.
-        src = np.cumsum(size) - size
-        room = (size + before + 2 * PERIOD - 1) // PERIOD * PERIOD
-        base = np.cumsum(room) - room
-        start = base + (-before) % PERIOD
-        text = np.zeros(int(room.sum()) + 2 * window + 4 * PERIOD, np.uint8)
-        pos = np.arange(int(size.sum())) - np.repeat(src, size)
-        text[pos + np.repeat(start, size)] = raw
-        ranks = cover_ranks(text, window)
-        out = np.zeros(int(count.sum()), bool)
-        at = np.arange(len(out)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
-        # A bucket: the suffixes that stand alike to one kind of anchor. Buckets are sorted one block at a time.
-        anchor = np.repeat(start + before, count)
-        gram = _names([_big_endian(text, anchor, j) for j in range(3)])
-        key = gram * (2 * window) + (anchor - at)
-        order = np.argsort(key, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-        edges = np.append(edges, len(order))
-        i = 0
-        while i < len(edges) - 1:
-            j = max(i + 1, int(np.searchsorted(edges, edges[i] + BLOCK, "right")) - 1)
-            block = order[edges[i] : edges[j]]
-            out[block] = repeated_suffixes(text, ranks, at[block], window)
-            i = j
-        per = spread(out, [int(s["count"].sum()) for s in segs])
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "flags": pa.array([np.packbits(f).tobytes() for f in per], pa.binary())})
+        segments, times, digests, digest_times, shape = [], [], [], [], []
+        for body, sizes, before, many in zip(*(table.column(c) for c in ("text", "sizes", "places", "counts"))):
+            raw, many = unsqueeze(body.as_buffer()), (np.frombuffer(unsqueeze(many.as_buffer()), np.uint8) + 1).tolist()
+            at = 0
+            size, before = received(sizes.as_buffer(), "<u2").tolist(), received(before.as_buffer(), "<u2").tolist()
+            for n, p in zip(size, before):
+                segments.append((raw[at + p : at + n], raw[at : at + p]))
+                at += n
+            digests += [raw[k : k + DIGEST] for k in range(at, len(raw), DIGEST)]
+            times += many[: len(size)]
+            digest_times += many[len(size) :]
+            shape.append((len(size), len(many) - len(size)))
+        flags = repeated_windows(segments, times, window, gram)
+        often: dict[bytes, int] = {}
+        for x, n in zip(digests, digest_times):
+            often[x] = often.get(x, 0) + n
+        found = np.array([often[x] > 1 for x in digests], bool)
+        out, i, j = [], 0, 0
+        for n, m in shape:
+            out.append(squeeze(np.packbits(np.concatenate([np.zeros(0, bool), *flags[i : i + n], found[j : j + m]])).tobytes()))
+            i, j = i + n, j + m
+        out = pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "n": pa.array([int(sum(map(len, flags[a - n : a]))) + m for a, (n, m) in zip(np.cumsum([n for n, _ in shape]).tolist(), shape)], pa.int64()), "flags": pa.array(out, pa.binary())})
+        release()
+        return out
 
     return run
 
@@ -317,45 +345,41 @@ def _sort_buckets(window: int):
 def _finish(window: int):
     def run(left, right):
         rows: list[dict] = []
-        answers = dict(zip(right.column("bucket").to_pylist(), right.column("flags").to_pylist()))
-        for chunk, marks, asked in zip(chunks_of(left), left.column("marks").to_pylist(), left.column("asked").to_pylist()):
-            removed = np.unpackbits(np.frombuffer(marks, np.uint8))[: len(chunk.buf)].astype(bool)
-            seg = np.frombuffer(asked, _SEGMENT)
-            hits = []
-            for b in np.unique(seg["bucket"]).tolist():
-                mine = seg[seg["bucket"] == b]
-                count = mine["count"].astype(np.int64)
-                flag = np.unpackbits(np.frombuffer(answers[b], np.uint8))[: int(count.sum())].astype(bool)
-                inside = np.repeat(mine["doc"] >= 0, count)
-                at = np.arange(len(flag)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(mine["start"] + chunk.offs[np.maximum(mine["doc"], 0)], count)
-                hits.append(at[flag & inside])
-            removed |= cover(np.concatenate(hits), window, len(chunk.buf)) if hits else False
+        answers = sorted(zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), right.column("flags").to_pylist()))
+        flags = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(unsqueeze(x), np.uint8))[:n].astype(bool) for _, n, x in answers)])
+        for chunk, at, counts, places in zip(chunks_of(left), *(left.column(c).to_pylist() for c in ("at", "counts", "places"))):
+            count = np.frombuffer(unsqueeze(counts), np.uint8).astype(np.int64)
+            step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            hit = flags[np.repeat(received(places, "<i8"), count) + step]
+            removed = cover((np.repeat(received(at, "<i8"), count) + step)[hit], window, len(chunk.buf))
             rows += [_result(chunk, d, removed) for d in range(len(chunk.ids))]
-        return pa.Table.from_pylist(rows, schema=pa.schema([_MARKED.field(n) for n in ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")]))
+        out = pa.Table.from_pylist(rows, schema=pa.schema([_MARKED.field(n) for n in ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")]))
+        release()
+        return out
 
     return run
 
 
-def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed bytes).
 
     A byte goes if a string of window bytes (a multiple of 8, above PERIOD) that covers it also
     starts anywhere else, in any row; strings are judged on the input. A null text is an empty one.
     Repeated rows repeat each other's strings; ids, null or not, are only carried along. An
-    empty table gives an empty result; other columns are not looked at.
+    empty table gives an empty result; other columns are not looked at. A text of any length is read
+    whole; a task needs memory in proportion to the longest.
     """
     spark = docs.sparkSession
     ship_package(spark)
+    secret = os.urandom(16)
     chunks = chunked(docs, id_col, text_col, "repeats", CHUNK_BYTES)
-    bits = bucket_bits(chunks)
-    asked = chunks.mapInArrow(_ask(bits, window, gram), "bucket int, chunk long, keys binary, contexts binary, many binary")
-    states = materialize(asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, states binary"), "ranks")
-    marked = materialize(chunks.groupBy("chunk").cogroup(states.groupBy("chunk")).applyInArrow(_mark(bits, window, gram), _MARKED_SCHEMA), "ties")
+    bits = bucket_bits(chunks, BUCKET_BYTES)
+    states = gram_states(chunks, bits, lambda chunk: Anchors(chunk, window, gram).grams(), "cover", hot_rows)
+    marked = materialize(chunks.groupBy("chunk").cogroup(states.groupBy("chunk")).applyInArrow(_mark(bits, window, gram, secret), _MARKED_SCHEMA), "segments")
     discard(chunks, states)
-    free_shuffles(spark)
-    segments = marked.where("kind = 'segments'").select("bucket", "chunk", "text", "asked")
-    flags = materialize(segments.groupBy("bucket").applyInArrow(_sort_buckets(window), "chunk long, bucket int, flags binary"), "suffixes")
-    open_ = marked.where("kind = 'chunk'").select("chunk", "ids", "known", "sizes", "text", "marks", "asked")
+    entries = marked.where("kind = 'entries'").select("bucket", "chunk", "text", "sizes", "places", "counts")
+    flags = materialize(entries.groupBy("bucket").applyInArrow(_sort(window, gram), "chunk long, bucket int, n long, flags binary"), "suffixes")
+    open_ = marked.where("kind = 'chunk'").select("chunk", "ids", "known", "sizes", "text", "at", "counts", "places")
     finished = open_.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_finish(window), RESULT)
     done = marked.where("kind = 'done'").select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
     return done.unionByName(finished).withColumnRenamed("id", id_col)
