@@ -37,4 +37,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    out._geoloom_path = now._geoloom_path  # discard() deletes what this reads
+    return out

@@ -14,20 +14,27 @@ distance is a lower bound too. The shingle sets verify what is left.
 
 A group of equal lanes may be huge. Its pairs are never listed: members are checked against the
 group's first document, linked ones contract into components, and only members of different
-components are compared further.
+components are compared further. A group of many members that don't link (one template, filled in
+differently) is split by rare shingles: two documents that link share one of the rarest of either,
+how many being given by their sizes, and so they only meet at these.
+
+Shingles are told apart by 64-bit and equal sets by 128-bit digests made of keyed word digests; the
+key is drawn for each run, so no text can be made to collide.
 """
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.components import connected_components
-from geoloom.llm.exchange import Chunk, bucket_bits, chunked, chunks_of, planes, split, spread, unplanes
-from geoloom.llm.kernels import NOT_SPACE, U64, Words, distinct, grams, mix, text_arrays
-from geoloom.session import discard, free_shuffles, materialize, ship_package
+from geoloom.llm.exchange import Chunk, bucket_bits, chunked, chunks_of, received, send, split, spread, squeeze, unsqueeze
+from geoloom.llm.kernels import NOT_SPACE, U64, Words, distinct, grams, mix, release, text_arrays
+from geoloom.session import discard, materialize, ship_package
 
 SHINGLE_WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -35,7 +42,10 @@ PERCENT = 80
 SLACK = 0.25
 #: Text of a chunk; its lanes need several times as much memory.
 CHUNK_BYTES = 1 << 20
+#: Lane values that one bucket gets are those of so much text, about.
+BUCKET_BYTES = 16 << 20
 SALTED = 128
+#: Members of a group that are compared in one task at most; a larger group is dealt out in pairs of blocks.
 BLOCK_ROWS = 1024
 SKETCH_WORDS = 8
 ROW_BITS = 20  # a row number is its chunk's number and its place in the chunk
@@ -47,22 +57,27 @@ def _lower(buf: np.ndarray) -> np.ndarray:
 
 
 class ShingleSets:
-    """Distinct shingles of a chunk's documents: sorted 52-bit hashes, with the document above them."""
+    """Distinct shingles of a chunk's documents: keyed 64-bit digests, sorted by document and digest."""
 
-    def __init__(self, chunk: Chunk, k: int):
+    def __init__(self, chunk: Chunk, k: int, secret: bytes):
         w = Words(_lower(chunk.buf), chunk.offs, NOT_SPACE)
-        h = w.hashes()
+        h = w.keyed(secret)
         words = np.diff(w.first)
         at = np.flatnonzero(w.remaining() >= k)
-        value = (grams(h, k)[at] if len(at) else np.zeros(0, U64)) >> U64(12)
+        value = grams(h, k)[at] if len(at) else np.zeros(0, U64)
         doc = w.doc[at]
         short = np.flatnonzero((words > 0) & (words < k))
         if len(short):  # the whole sequence is the only shingle
-            lone = np.array([mix(grams(h[w.first[d] : w.first[d + 1]], int(words[d])) + U64(int(words[d])))[0] for d in short], U64) >> U64(12)
-            value, doc = np.concatenate([value, lone]), np.concatenate([doc, short])
-        both = distinct((doc.astype(U64) << U64(52)) | value)
-        self.doc = (both >> U64(52)).astype(np.int64)
-        self.value = both & U64((1 << 52) - 1)
+            lone = np.array([mix(grams(h[w.first[d] : w.first[d + 1]], int(words[d])) + U64(int(words[d])))[0] for d in short], U64)
+            doc = np.concatenate([doc, short])
+            order = np.argsort(doc, kind="stable")
+            value, doc = np.concatenate([value, lone])[order], doc[order]
+        edge = np.searchsorted(doc, np.arange(len(chunk.ids) + 1)).tolist()
+        for a, b in zip(edge, edge[1:]):
+            value[a:b].sort()
+        new = np.ones(len(doc), bool)
+        new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+        self.doc, self.value = doc[new], value[new]
         self.size = np.bincount(self.doc, minlength=len(chunk.ids))
         self.first = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
 
@@ -135,68 +150,67 @@ class Lanes:
         return order[rank < self.keep[self.owner]]
 
 
-def _describe(k: int):
-    """A row for each document: row, id, shingles, digest."""
+_DESCRIBED = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-    def run(batches):
-        for batch in batches:
-            for chunk in chunks_of(batch):
-                s = ShingleSets(chunk, k)
-                g = s.digests()
-                row = (chunk.number << ROW_BITS) + np.arange(len(chunk.ids))
-                yield pa.RecordBatch.from_arrays([pa.array(row), chunk.id_array(range(len(row))), pa.array(s.size.astype(np.int64)), pa.array(g[:, 0].view(np.int64)), pa.array(g[:, 1].view(np.int64))], ["row", "id", "n", "d1", "d2"])
 
-    return run
+def _columns(schema: pa.Schema, height: int, **cols) -> pa.RecordBatch:
+    """A batch with these columns and nulls in the others."""
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(height, f.type) for f in schema], schema=schema)
 
 
-def _ask(bits: int, k: int):
-    """A row for each chunk and bucket: its sorted distinct keys and how many documents have them."""
+def _describe(bits: int, k: int, secret: bytes):
+    """A row for each document (row, id, n, digest), and for each chunk and bucket its sorted distinct keys and how many documents have each."""
 
     def run(batches):
         for batch in batches:
             for chunk in chunks_of(batch):
-                x = Lanes(ShingleSets(chunk, k))
+                s = ShingleSets(chunk, k, secret)
+                g = s.digests()
+                row = (chunk.number << ROW_BITS) + np.arange(len(chunk.ids))
+                yield _columns(_DESCRIBED, len(row), row=row, id=chunk.id_array(range(len(row))), n=s.size.astype(np.int64), d1=g[:, 0].view(np.int64), d2=g[:, 1].view(np.int64))
+                x = Lanes(s)
                 cut = split(x.keys, bits)
-                low, counts = (x.keys >> U64(32 - bits)).astype(np.uint32), np.minimum(x.counts, 65535).astype("<u2")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _, _ in cut], pa.int32()), pa.array([chunk.number] * len(cut), pa.int64()), pa.array([low[i:j].tobytes() for _, i, j in cut], pa.binary()), pa.array([planes(counts[i:j]) for _, i, j in cut], pa.binary())],
-                    ["bucket", "chunk", "keys", "counts"],
-                )
+                low, counts = (x.keys >> U64(32 - bits)).astype("<u4"), x.counts.astype("<u2")  # a chunk has few thousand documents
+                yield _columns(_DESCRIBED, len(cut), bucket=[b for b, _, _ in cut], chunk=[chunk.number] * len(cut), keys=[low[i:j].tobytes() for _, i, j in cut], counts=[send(counts[i:j]) for _, i, j in cut])
+                release()
 
     return run
 
 
 def _count(table):
-    """For each asking chunk: how many documents of the corpus have each of its keys, 255 standing for more."""
-    keys = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]
-    counts = np.concatenate([unplanes(x.as_py(), np.uint16) for x in table.column("counts")]).astype(np.int64)
+    """For each asking chunk: how many documents of the corpus have each of its keys, as eight times the logarithm to base 2, and one more; 0 for a single one."""
+    keys = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("keys")]
+    counts = np.concatenate([received(x.as_buffer(), "<u2") for x in table.column("counts")]).astype(np.int64)
     key = np.concatenate(keys)
     order = np.argsort(key, kind="stable")
     ordered = key[order]
     new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    total = np.repeat(np.minimum(np.add.reduceat(counts[order], new), 255), np.diff(np.append(new, len(order))))
+    total = np.add.reduceat(counts[order], new)
+    code = np.where(total > 1, np.minimum(np.log2(total) * 8 + 1, 255), 0).astype(np.uint8)
     often = np.empty(len(order), np.uint8)
-    often[order] = total
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "often": pa.array([x.tobytes() for x in spread(often, [len(k) for k in keys])], pa.binary())})
+    often[order] = np.repeat(code, np.diff(np.append(new, len(order))))
+    out = pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "often": pa.array([squeeze(x.tobytes()) for x in spread(often, [len(k) for k in keys])], pa.binary())})
+    release()
+    return out
 
 
 _CHOSEN = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("folded", pa.binary()), ("set", pa.binary())])
 
 
-def _choose(bits: int, k: int):
+def _choose(bits: int, k: int, secret: bytes):
     """(key, row) of a chunk's lanes by which documents may meet, and (row, n, sketch, folded sketch, set) of their documents."""
 
     def run(left, right):
         out = []
         answers = dict(zip(right.column("bucket").to_pylist(), right.column("often").to_pylist()))
         for chunk in chunks_of(left):
-            s = ShingleSets(chunk, k)
+            s = ShingleSets(chunk, k, secret)
             x = Lanes(s)
             often = np.zeros(len(x.keys), np.uint8)
             for b, i, j in split(x.keys, bits):
-                often[i:j] = np.frombuffer(answers[b], np.uint8)
+                often[i:j] = np.frombuffer(unsqueeze(answers[b]), np.uint8)
             lanes = x.first(often)
-            lanes = lanes[often[x.of[lanes]] > 1]
+            lanes = lanes[often[x.of[lanes]] > 0]
             doc = x.doc[x.owner[lanes]]
             base = chunk.number << ROW_BITS
             none = pa.nulls(len(lanes))
@@ -207,6 +221,7 @@ def _choose(bits: int, k: int):
                 bits_ = sketch(own)
                 rows.append((None, base + d, len(own), bits_.tobytes(), fold(bits_, SKETCH_WORDS).tobytes(), own.tobytes()))
             out.append(pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _CHOSEN)] if rows else [pa.array([], f.type) for f in _CHOSEN], schema=_CHOSEN))
+        release()
         return pa.concat_tables(out) if out else _CHOSEN.empty_table()
 
     return run
@@ -244,44 +259,97 @@ def _pairs_that_may_link(batches):
 
 
 def _cross_pairs(batches):
-    """Pairs of different components in a group (or block of one) whose folded sketches don't rule a link out.
+    """Pairs of different components in a pair of blocks of a group whose folded sketches don't rule a link out.
 
-    Rows come sorted by group; all groups of a batch are compared at once, each row with the one so
-    many places further on. A batch's last group waits for the next batch.
+    Rows come sorted by group and pair of blocks; all of a batch are compared at once, each row with
+    the one so many places further on. A batch's last pair of blocks waits for the next batch.
     """
-    names = ("key", "block", "row", "label", "n")
+    names = ("key", "i", "j", "part", "row", "label", "n", "rare")
 
     def compare(cols, words):
-        key, block, row, label, n = cols
+        key, i, j, part, row, label, n, rare = cols
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         left, step = np.arange(len(key)), 1
         while True:
             left = left[left + step < len(key)]
             right = left + step
-            left = left[(key[left] == key[right]) & (block[left] == block[right])]
+            left = left[(key[left] == key[right]) & (i[left] == i[right]) & (j[left] == j[right])]
             if not len(left):
                 break
             right = left + step
-            i = label[left] != label[right]
-            x, y = left[i], right[i]
-            x, y = (z[np.minimum(n[x], n[y]) * 100 >= PERCENT * np.maximum(n[x], n[y])] for z in (x, y))
+            x, y = left, right
+            ok = (label[x] != label[y]) & ((part[x] != part[y]) | (i[x] == j[x]))
+            x, y = x[ok], y[ok]
+            # The smaller set must have the group's shingle among its rarest, for its size; of equal ones both.
+            ok = np.minimum(n[x], n[y]) * 100 >= PERCENT * np.maximum(n[x], n[y])
+            ok &= ((rare[x] > 0) | (n[x] > n[y])) & ((rare[y] > 0) | (n[y] > n[x]))
+            x, y = x[ok], y[ok]
             ok = np.bitwise_count(words[x] ^ words[y]).sum(1, dtype=np.int64) <= most_different(n[x], n[y])
             a.append(np.minimum(row[x[ok]], row[y[ok]]))
             b.append(np.maximum(row[x[ok]], row[y[ok]]))
             step += 1
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    held, held_words = [np.zeros(0, np.int64)] * 5, np.zeros((0, SKETCH_WORDS), U64)
+    held, held_words = [np.zeros(0, np.int64)] * len(names), np.zeros((0, SKETCH_WORDS), U64)
     for batch in batches:
         cols = [np.concatenate([h, np.asarray(batch.column(c)).astype(np.int64)]) for h, c in zip(held, names)]
         data, starts, _, _ = text_arrays(batch.column("folded"))
         new = data[starts[0] : starts[0] + 8 * SKETCH_WORDS * len(starts)].view(np.uint8).tobytes() if len(starts) else b""
         words = np.concatenate([held_words, np.frombuffer(new, U64).reshape(-1, SKETCH_WORDS)])
-        before = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1])) if len(cols[0]) else []
+        before = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1])) if len(cols[0]) else []
         cut = int(before[-1]) + 1 if len(before) else 0
         yield compare([c[:cut] for c in cols], words[:cut])
         held, held_words = [c[cut:] for c in cols], words[cut:]
     yield compare(held, held_words)
+    release()
+
+
+def _cross(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (key, row, label, rare) of one key and different labels that may link.
+
+    The rows of a key's largest label, T, and the others, O, are cut into blocks; tasks get pairs of
+    blocks, T with O and O with O. A key whose rows fit in one block is one pair.
+    """
+    counts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.max("rare").alias("rare"))
+    tops = counts.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("top"), F.max("size").alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("labels"), F.max("rare").alias("any"))
+    tops = tops.where("labels > 1 AND any > 0").select("key", "top", "size", F.ceil(F.col("most") / BLOCK_ROWS).cast("int").alias("ts"), F.ceil((F.col("size") - F.col("most")) / BLOCK_ROWS).cast("int").alias("os"))
+    single, is_top, deal = F.col("size") <= BLOCK_ROWS, F.col("label") == F.col("top"), F.xxhash64("row")
+    part = F.when(single, 0).when(is_top, -1 - F.pmod(deal, F.col("ts"))).otherwise(F.pmod(deal, F.col("os"))).cast("int")
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    others = F.sequence(F.lit(0), F.col("os") - 1)
+    pairs = (
+        F.when(single, F.array(pair(F.lit(0), F.lit(0))))
+        .when(is_top, F.transform(others, lambda o: pair(F.col("part"), o)))
+        .otherwise(F.concat(F.transform(F.sequence(F.lit(1), F.col("ts")), lambda t: pair(-t, F.col("part"))), F.transform(others, lambda o: pair(F.least(o, F.col("part")), F.greatest(o, F.col("part"))))))
+    )
+    dealt = members.join(tops, "key").withColumn("part", part).select("key", "row", "label", "rare", "part", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "part", "row", "label", "rare")
+    dealt = dealt.join(sets.select("row", "n", "folded"), "row").select("key", "i", "j", "part", "row", "label", "n", "rare", "folded")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross_pairs, "a long, b long").distinct()
+
+
+def _shingles(batches):
+    """(shingle, row) of (row, set)."""
+    for batch in batches:
+        own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("set")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), pa.array(np.repeat(np.asarray(batch.column("row")), [len(x) for x in own]))], ["shingle", "row"])
+
+
+def _by_rare_shingles(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members (key, row, label, rare) of groups of hot's rows (row, label) by their rarest shingles.
+
+    Sets a and b, a not the larger, that link share more than |a| - 2P / (100 + P) |a| shingles of a
+    and |b| - P / 100 |b| of b, P being PERCENT. So in any common order one of as many from the front
+    of either is shared; rare tells whether a shingle is in the shorter of these fronts. The order is
+    by how many of hot's rows have a shingle.
+    """
+    of = hot.join(sets.select("row", "set"), "row").select("row", "set").mapInArrow(_shingles, "shingle long, row long")
+    often = of.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ordered = of.join(often, "shingle", "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle"))).alias("s"))
+    n = F.size("s")
+    front = n - F.ceil(n * PERCENT / 100).cast("int") + 1
+    short = n - F.ceil(n * (2 * PERCENT) / (100 + PERCENT)).cast("int") + 1
+    at = ordered.select("row", short.alias("short"), F.posexplode(F.slice("s", F.lit(1), front)).alias("k", "s"))
+    return at.where("s.often > 1").select(F.col("s.shingle").alias("key"), "row", (F.col("k") < F.col("short")).cast("int").alias("rare")).join(hot, "row").select("key", "row", "label", "rare")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -302,13 +370,15 @@ def _verify(left, right):
     return left.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) that link. A pivot's pairs are dealt out by salt, SALTED to each, with a copy of its set."""
+def _links(pairs: DataFrame, sets: DataFrame, tag: str) -> DataFrame:
+    """The distinct pairs (a, b) that link, written. A pivot's pairs are dealt out by salt, SALTED to each, with a copy of its set."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALTED).alias("salts"))
     dealt = materialize(pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")), "pairs")
     left = dealt.join(sets.withColumnRenamed("row", "b"), "b").select("a", "b", "salt", "set")
     own = dealt.select(F.col("a").alias("pivot"), F.col("salt").alias("part")).distinct().join(sets.select(F.col("row").alias("pivot"), F.col("set").alias("own")), "pivot")
-    return left.groupBy("a", "salt").cogroup(own.groupBy("pivot", "part")).applyInArrow(_verify, "a long, b long")
+    out = materialize(left.groupBy("a", "salt").cogroup(own.groupBy("pivot", "part")).applyInArrow(_verify, "a long, b long"), tag)
+    discard(dealt)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -322,19 +392,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     ship_package(spark)
+    secret = os.urandom(16)
     chunks = chunked(docs, id_col, text_col, "jaccard", CHUNK_BYTES)
-    bits = bucket_bits(chunks) + 1
-    about = materialize(chunks.select("chunk", "ids", "known", "sizes", "text").mapInArrow(_describe(shingle_words), "row long, id long, n long, d1 long, d2 long"), "sets")
+    bits = bucket_bits(chunks, BUCKET_BYTES)
+    described = materialize(chunks.select("chunk", "ids", "known", "sizes", "text").mapInArrow(_describe(bits, shingle_words, secret), "row long, id long, n long, d1 long, d2 long, bucket int, chunk long, keys binary, counts binary"), "sets")
+    about = described.where("row IS NOT NULL").select("row", "id", "n", "d1", "d2")
     # Equal sets are one class, whose first row stands for it.
     classes = about.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("size"))
     copies = materialize(about.join(classes.where("size > 1"), ["d1", "d2", "n"]).select("row", "rep"), "copies")
-    asked = chunks.select("chunk", "ids", "known", "sizes", "text").mapInArrow(_ask(bits, shingle_words), "bucket int, chunk long, keys binary, counts binary")
+    asked = described.where("bucket IS NOT NULL").select("bucket", "chunk", "keys", "counts")
     often = materialize(asked.groupBy("bucket").applyInArrow(_count, "chunk long, bucket int, often binary"), "often")
-    free_shuffles(spark)
-    chosen = materialize(chunks.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInArrow(_choose(bits, shingle_words), "key long, row long, n long, sketch binary, folded binary, set binary"), "lanes")
+    about = materialize(about.select("row", "id", "n"), "about")
+    discard(described)
+    chosen = materialize(chunks.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInArrow(_choose(bits, shingle_words, secret), "key long, row long, n long, sketch binary, folded binary, set binary"), "lanes")
     discard(chunks, often)
-    free_shuffles(spark)
     sets = chosen.where("set IS NOT NULL").drop("key")
+    only = sets.select("row", "set")
     met = chosen.where("key IS NOT NULL").select("key", "row").join(copies, "row", "left").select("key", F.coalesce("rep", "row").alias("row")).distinct()
     groups = met.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last")
     members = materialize(met.join(groups, "key").select("key", "first", "row"), "members")
@@ -343,22 +416,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = members.where("row > first").select(F.col("first").alias("a"), F.col("row").alias("b")).distinct()
     stars = stars.join(sketches("b", "nb", "sb"), "b").where(F.col("nb") > 0).join(sketches("a", "na", "sa"), "a")
     stars = materialize(stars.mapInArrow(_pairs_that_may_link, "a long, b long"), "hopeful")
-    linked_ = materialize(_links(stars, sets.select("row", "set")), "stars")
+    linked_ = _links(stars, only, "stars")
     label = connected_components(linked_)
     # Second round: what a group still has in different components. Every link there joins two of them.
-    labelled = materialize(members.select("key", "row").join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row")), "labelled")
-    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    tops = counts.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("top"), F.max("size").alias("size"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    # The largest component of a group is dealt out in blocks; the others' members go to each of them.
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    block = F.when(F.col("label") == F.col("top"), F.array(F.pmod(F.xxhash64("row"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    open_ = labelled.join(tops, "key").select("key", "row", "label", F.explode(block).alias("block")).join(sets.select("row", "n", "folded"), "row")
-    sorted_ = open_.select("key", "block", "row", "label", "n", "folded").repartition("key", "block").sortWithinPartitions("key", "block")
-    cross = sorted_.mapInArrow(_cross_pairs, "a long, b long").distinct()
-    more = materialize(_links(materialize(cross.join(stars, ["a", "b"], "left_anti"), "crossing"), sets.select("row", "set")), "cross")
+    labelled = materialize(members.select("key", "row").join(label.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("label", "row").alias("label")), "labelled")
+    discard(members, label)
+    open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key", "size")
+    open_ = materialize(open_, "open")
+    small = labelled.join(open_.where(F.col("size") <= BLOCK_ROWS), "key").select("key", "row", "label", F.lit(1).alias("rare"))
+    hot = materialize(labelled.join(open_.where(F.col("size") > BLOCK_ROWS), "key").select("row", "label").distinct(), "hot")
+    cross = _cross(small, sets).unionByName(_cross(_by_rare_shingles(hot, only), sets)).distinct()
+    crossing = materialize(cross.join(stars, ["a", "b"], "left_anti"), "crossing")
+    more = _links(crossing, only, "cross")
     edges = linked_.unionByName(more).unionByName(copies.select(F.col("row").alias("a"), F.col("rep").alias("b")).where("a <> b"))
     label = connected_components(edges)
-    discard(members, chosen, stars, labelled, linked_, more)
+    discard(chosen, stars, labelled, open_, hot, crossing, linked_, more, copies)
     whole = about.join(label.withColumnRenamed("node", "row"), "row", "left").select("id", "n", F.coalesce("label", "row").alias("label"))
     least = whole.groupBy("label").agg(F.min("id").alias("component_id"))
     return whole.join(least, "label").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
