@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.kernels import U64, Words, joined, mix, pieces, text_arrays
+from geoloom.llm.kernels import U64, Words, joined, mix, pieces, release, text_arrays
 from geoloom.session import ship_package
 
-#: The classifier is fitted on at most so many training documents of each language, and so many
-#: characters of each; prediction reads whole texts.
-TRAIN_DOCS, TRAIN_CHARS = 400, 1200
+#: The classifier is fitted on at most so many training documents of each language, whole texts.
+TRAIN_DOCS = 200
+#: Words of a block: long texts are cut into blocks that are worked off side by side.
+BLOCK_WORDS = 512
 SEQUENCE_WORDS, EPOCHS, BATCH = 32, 6, 128
 GRAM_BITS, WORD_BITS = 16, 16
 PIECE_BYTES = 2 << 20
@@ -72,36 +73,67 @@ class Model:
         return e
 
 
+def _sweep(x: np.ndarray, a: np.ndarray, start: np.ndarray, size: np.ndarray, entry: np.ndarray | None, back: bool) -> np.ndarray:
+    """One direction over blocks side by side: states after each word's transition, or transfer matrices where entry is None.
+
+    x: scores of all words; start, size: of blocks, longest first; entry: state before each block's first word.
+    The state before a word is what the words before it in the direction say about its label.
+    """
+    n = x.shape[1]
+    state = np.broadcast_to(np.eye(n, dtype=np.float32), (len(start), n, n)).copy() if entry is None else entry.copy()
+    out = state if entry is None else np.empty_like(x)
+    step = a.T if back else a
+    longest = int(size[0]) if len(size) else 0
+    active = np.searchsorted(-size, -np.arange(1, longest + 1), "right") if longest else []
+    for t in range(longest):
+        m = active[t]
+        at = start[:m] + (size[:m] - 1 - t if back else t)
+        if entry is None:
+            now = (state[:m] * x[at][:, None, :]) @ step
+            state[:m] = now / now.sum((1, 2), keepdims=True)
+        else:
+            out[at] = state[:m]
+            now = (state[:m] * x[at]) @ step
+            state[:m] = now / now.sum(1, keepdims=True)
+    return out
+
+
 def forward_backward(e: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Label probabilities of all words; first: first word of each sequence, and the end. Sequences run side by side."""
+    """Label probabilities of all words; first: first word of each sequence, and the end.
+
+    Sequences are cut into blocks of BLOCK_WORDS. Transfer matrices of blocks carry the states from
+    block to block; then all blocks run side by side, so a long text takes few more steps than a
+    short one.
+    """
     n_words, n = e.shape
-    x = np.exp(e - e.max(1, keepdims=True)) if n_words else e
-    a = np.exp(trans - trans.max())
+    if not n_words:
+        return e
+    x = np.exp(e - e.max(1, keepdims=True)).astype(np.float32)
+    a = np.exp(trans - trans.max()).astype(np.float32)
     lens = np.diff(first)
-    order = np.argsort(-lens, kind="stable")
-    start, lens = first[:-1][order], lens[order]
-    longest = int(lens[0]) if len(lens) else 0
-    active = np.searchsorted(-lens, -np.arange(1, longest + 1), "right") if longest else []
-    alpha = np.empty_like(x)
-    state = np.empty((len(lens), n), np.float32)
-    for t in range(longest):
-        m = active[t]
-        now = x[start[:m] + t]
-        if t:
-            now = now * (state[:m] @ a)
-        now /= now.sum(1, keepdims=True)
-        state[:m] = now
-        alpha[start[:m] + t] = now
-    beta = np.ones((len(lens), n), np.float32)
-    for t in range(longest - 1, -1, -1):
-        m = active[t]
-        at = start[:m] + t
-        p = alpha[at] * beta[:m]
-        p /= p.sum(1, keepdims=True)
-        alpha[at] = p
-        b = (x[at] * beta[:m]) @ a.T
-        beta[:m] = b / b.sum(1, keepdims=True)
-    return alpha
+    blocks = -(-lens // BLOCK_WORDS)
+    begin = np.cumsum(blocks) - blocks  # first block of each sequence
+    number = np.arange(int(blocks.sum())) - np.repeat(begin, blocks)
+    start = np.repeat(first[:-1], blocks) + number * BLOCK_WORDS
+    size = np.minimum(np.repeat(lens, blocks) - number * BLOCK_WORDS, BLOCK_WORDS)
+    order = np.argsort(-size, kind="stable")
+    many = np.flatnonzero(np.repeat(blocks, blocks)[order] > 1)  # only these need matrices
+    states = []
+    for back in (False, True):
+        entry = np.full((len(start), n), 1.0 / n, np.float32)
+        if len(many):
+            chosen = order[many]
+            matrix = np.empty((len(start), n, n), np.float32)
+            matrix[chosen] = _sweep(x, a, start[chosen], size[chosen], None, back)
+            for k in range(1, int(blocks.max())):
+                seq = np.flatnonzero(blocks > k)
+                to = begin[seq] + (blocks[seq] - 1 - k if back else k)
+                come = to + (1 if back else -1)
+                now = np.einsum("bi,bij->bj", entry[come], matrix[come])
+                entry[to] = now / now.sum(1, keepdims=True)
+        states.append(_sweep(x, a, start[order], size[order], entry[order], back))
+    p = states[0] * states[1] * x
+    return p / p.sum(1, keepdims=True)
 
 
 def _marginals(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,16 +201,17 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 5) -> Model:
     return model
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> list:
-    """(text, lang) of a bounded sample: for each language the documents with the smallest hash of their id."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(text_col, 1, chars).alias("text")
-    )
-    # First within parts of a language, so that no task gets all documents of a frequent one.
-    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
-        w = Window.partitionBy(*keys).orderBy("h", "text")
-        rows = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang).drop("k")
-    return rows.orderBy("lang", "h", "text").select("text", "lang").collect()
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = TRAIN_DOCS) -> list:
+    """(text, lang) of a bounded sample: for each language the documents with the smallest hash of their id.
+
+    Languages are counted first; only documents with a hash below what about twice the sample needs
+    are looked at, so next to nothing is shuffled, whatever the corpus' size.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text"))
+    limit = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", F.least(F.lit(1.0), (2.0 * per_lang + 50) / F.col("n")).alias("share"))
+    near = rows.join(limit, "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * float(1 << 40))
+    w = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h", "text")
+    return near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang).orderBy("lang", "h", "text").select("text", "lang").collect()
 
 
 def _has_letters(raw: bytes) -> bool:
@@ -216,6 +249,7 @@ def _predict(shared, text_at: int, keep: list[int]):
                 lang = [model.labels[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist())]
                 score = np.where(known, np.minimum(share[np.arange(j - i), best], 1.0), 0.0)
                 cols = [batch.column(k).slice(i, j - i) for k in keep]
+                release()
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score)], [*(batch.schema.names[k] for k in keep), LABEL, SCORE])
 
     return run
@@ -239,7 +273,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     A null text, or one without letters, is `und` with score 0, as is all if the model knows no
     language. Equal shares go to the label that sorts first. Repeated rows and null ids stay; other
-    columns are not looked at; an empty table gives an empty result.
+    columns are not looked at; an empty table gives an empty result. Long texts are read whole, block
+    by block; a task holds a few numbers for each word of HELD_BYTES of text, or of one longer text.
     """
     spark = docs.sparkSession
     ship_package(spark)
