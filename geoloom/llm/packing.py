@@ -11,6 +11,7 @@ fit first. Pieces then find their place by their rank among the pieces of their
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 
@@ -28,28 +29,42 @@ ROUNDS, STEP, ETA = 600, 0.05, 2.0
 SLACK, GAP, AGAIN = 0.003, 0.001, 4
 #: (index of a length, pieces of it), by index.
 Config = tuple[tuple[int, int], ...]
+#: Characters of white space in a row from which on a text goes through `tokenizers`.
+LONG_SPACE = 1000
 _encoders: dict = {}
 
 
 def _encoder(path: str):
-    """An encoder with the ids of the byte-level BPE file at path, kept while the worker lives.
+    """text -> ids of the byte-level BPE file at path, as `tokenizers` gives them; kept while the worker lives.
 
-    tiktoken runs the same merges as `tokenizers` would, several times faster; ranks and pattern
-    are taken from the file and the tests hold both against each other. Strings of special tokens
-    in a text are ordinary text.
+    Most texts go through tiktoken, which runs the same merges several times faster; ranks and
+    pattern come from the file, and the tests hold both against each other. Texts that it can't do
+    alike go through `tokenizers` itself: those with the special token's string, which is a token of
+    its own there, and those on which tiktoken's pattern gives up (very long runs of white space).
     """
     if path not in _encoders:
         import json
 
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            whole = json.load(f)
+        special = [t["content"] for t in whole.get("added_tokens", [])]
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        ranks = {bytes(byte[c] for c in token): k for token, k in vocab.items() if all(c in byte for c in token) and token != "<|endoftext|>"}
+        ranks = {bytes(byte[c] for c in token): k for token, k in whole["model"]["vocab"].items() if all(c in byte for c in token) and token not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the byte-level pre-tokeniser's pattern
-        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        slow = Tokenizer.from_file(path)
+        long_space = re.compile(r"\s{%d}" % LONG_SPACE)
+
+        def encode(text: str) -> list[int]:
+            if any(x in text for x in special) or long_space.search(text):
+                return slow.encode(text, add_special_tokens=False).ids
+            return fast.encode_ordinary(text)
+
+        _encoders[path] = encode
     return _encoders[path]
 
 
@@ -59,12 +74,12 @@ def _cut(path: str, capacity: int, end_id: int):
 
         part = TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
-        encoder = _encoder(path)
+        encode = _encoder(path)
         for batch in batches:
             data, starts, ends, _ = text_arrays(batch.column(1))
             row, piece, start, length, crc, rank = [], [], [], [], [], []
             for d, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
-                ids = np.array([*encoder.encode_ordinary(data[a:b].tobytes().decode()), end_id], "<u4")
+                ids = np.array([*encode(data[a:b].tobytes().decode()), end_id], "<u4")
                 head = (len(ids) - 1) % capacity + 1
                 for k, s in enumerate([0, *range(head, len(ids), capacity)]):
                     e = head if k == 0 else s + capacity
@@ -272,9 +287,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     lengths, totals = np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64)
     slots = plan_rows(lengths, solve(lengths, totals, capacity)) if len(lengths) else []
     schema = "length long, lo long, hi long, base long, per long, at long"
-    plan = spark.createDataFrame(slots, schema)  # bounded: rounds and lengths bound the configurations
+    plan = spark.createDataFrame(slots, schema)  # rounds and lengths bound the configurations; equi-joined by length, broadcast only if Spark finds it small
     ranked = cut.join(shifts, ["length", "part"]).withColumn("place", F.col("rank") + F.col("shift"))
-    out = ranked.join(F.broadcast(plan), (ranked.length == plan.length) & (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi")))
+    out = ranked.join(plan, (ranked.length == plan.length) & (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi")))
     k = F.col("place") - F.col("lo")
     return out.select(
         F.col("id").alias(id_col),
