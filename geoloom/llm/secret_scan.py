@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from geoloom.llm.kernels import joined, pieces, runs, text_arrays
+from geoloom.llm.kernels import joined, pieces, release, runs, text_arrays
 from geoloom.session import ship_package
 
 SCOPE_CHARS = 200
@@ -25,7 +25,9 @@ KINDS = ("assign", "access", "hex", "key", "user", "endpoint")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _USER = re.compile(rb"""\b(?:user|username|login|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.I)
-_ENDPOINT = re.compile(rb"[a-z][a-z0-9+.-]*://[A-Za-z0-9.-]+(?::[0-9]+)?")
+#: An endpoint from its :// on; the scheme before it is found backwards, so that long words cost no more than others.
+_ENDPOINT = re.compile(rb"://[A-Za-z0-9.-]+(?::[0-9]+)?")
+_SCHEME = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789+.-")
 _BLANK = re.compile(rb"\n[\x20\t\r]*\n")
 
 
@@ -98,6 +100,21 @@ def link(parts: list[tuple[int, int, str]], text: bytes) -> tuple[list[tuple[int
     return weak, links
 
 
+def _endpoints(raw: bytes) -> list[tuple[int, int, str]]:
+    """scheme://host[:port]; a scheme is the run of its characters before the ://, from the first letter on."""
+    found, before = [], 0
+    for m in _ENDPOINT.finditer(raw):
+        s = m.start()
+        while s > before and raw[s - 1] in _SCHEME:
+            s -= 1
+        while s < m.start() and not 97 <= raw[s] <= 122:
+            s += 1
+        if s < m.start():
+            found.append((s, m.end(), "endpoint"))
+            before = m.end()
+    return found
+
+
 def _scan_document(raw: bytes, hexes: list[tuple[int, int]], keys: list[tuple[int, int]], marked: bool) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], list[tuple]]:
     """(base spans, weak spans, links), byte offsets."""
     base = [(s, e, "hex") for s, e in hexes]
@@ -105,7 +122,7 @@ def _scan_document(raw: bytes, hexes: list[tuple[int, int]], keys: list[tuple[in
     weak: list[tuple[int, int, str]] = []
     if marked:
         base += [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(raw) if m.end(2) - m.start(2) >= 8]
-        weak = [(m.start(), m.end(), "user") for m in _USER.finditer(raw)] + [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(raw)]
+        weak = [(m.start(), m.end(), "user") for m in _USER.finditer(raw)] + _endpoints(raw)
     inside = sorted((s, e) for s, e, _ in base)
     reach = np.maximum.accumulate([e for _, e in inside]) if inside else []
     for s, e in keys:
@@ -118,12 +135,11 @@ def _scan_document(raw: bytes, hexes: list[tuple[int, int]], keys: list[tuple[in
     return (base, *link(base + weak, raw))
 
 
-def _in_code_points(raw: bytes, spans: list[tuple[int, int, str]]) -> list[tuple[int, str, int]]:
-    if not spans:
-        return []
-    b = np.frombuffer(raw, np.uint8)
-    points = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
-    return sorted((int(points[s]), KINDS.index(k), int(points[e])) for s, e, k in spans)
+def _code_points(raw: bytes, spans: list[tuple[int, int, str]]) -> dict[int, int]:
+    """The code point at each byte offset where a span begins or ends; one pass over the text."""
+    at = np.array(sorted({x for s, e, _ in spans for x in (s, e)}), np.int64)
+    lead = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+    return dict(zip(at.tolist(), np.add.accumulate([int(np.count_nonzero(lead[a:b])) for a, b in zip([0, *at[:-1].tolist()], at.tolist())], dtype=np.int64).tolist())) if len(at) else {}
 
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
@@ -144,10 +160,12 @@ def _scan(batches):
             for d in marked | akia | hexes.keys() | keys.keys():
                 raw = whole[offs[d] : offs[d + 1]]
                 base, weak, links = _scan_document(raw, hexes.get(d, []), keys.get(d, []), d in marked)
-                named = lambda spans: [{"kind": KINDS[k], "start": s, "stop": e} for s, k, e in _in_code_points(raw, spans)]  # noqa: B023, E731
+                point = _code_points(raw, base + weak + [p for parts in links for p in parts if p])
+                one = lambda p: {"kind": p[2], "start": point[p[0]], "stop": point[p[1]]} if p else None  # noqa: B023, E731
+                named = lambda spans: [one(p) for p in sorted(spans, key=lambda p: (p[0], KINDS.index(p[2]), p[1]))]  # noqa: B023, E731
                 base_col[d], extra_col[d] = named(base), named(weak)
-                one = lambda p: named([p])[0] if p else None  # noqa: B023, E731
                 link_col[d] = [{"secret": one(s), "identifier": one(a), "endpoint": one(b)} for s, a, b in links]
+            release()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(i, j - i), pa.array(base_col, _SPAN), pa.array(extra_col, _SPAN), pa.array(link_col, _LINK)], ["id", "base", "weak", "links"]
             )
@@ -157,7 +175,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: id, base, weak (arrays of kind, start, stop in code points, by start then kind) and links.
 
     A null text is empty and has no spans. Rows are scanned one by one, so repeats, ties and null
-    ids stay as they are; other columns are not looked at. An empty table gives an empty result.
+    ids stay as they are; other columns are not looked at. An empty table gives an empty result. Texts
+    are read whole; time grows in proportion to a text's length and its parts.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))

@@ -192,8 +192,8 @@ def test_packing(spark, hard, documents):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    for df in (documents, hard):
+    odd = spark.createDataFrame([(1, 'a<|endoftext|>b'), (2, 'x' + '\n' * 300_000 + ' y'), (3, 'z' * 100_000), (4, ' \u3000' * 3000), (5, None)], 'doc_id long, text string')
+    for df in (documents, hard, odd):
         got = packing.pack(df, path).collect()
         texts = df.select("doc_id", "text").collect()
         ids = [[*tok.encode(r.text or "", add_special_tokens=False).ids, 2] for r in texts]
