@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing
-from geoloom.session import materialize
+from geoloom.session import discard, materialize
 
 #: A document whose language has a smaller share of its words than this is rejected; with four
 #: languages mixed evenly no share is smaller than a quarter.
 LEAST_SHARE = 0.3
+ROW = "_geoloom_row"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,16 +19,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.keep_identified(docs, language_id.fit_model(docs), LEAST_SHARE)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written so that it stays; ids may repeat, so they can't name rows."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _first_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each group (row number, group) the row with the smallest id; a null id is larger than any other."""
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", ROW)
+    first = rows.select(ROW, "doc_id").join(groups, ROW).groupBy("group").agg(F.min(order).alias("first")).select(f"first.{ROW}")
+    return rows.join(first, ROW).drop(ROW)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the smallest id stays; rows without id, which can't be named, stay."""
-    dropped = exact_dedup.exact_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of rows with equal texts one with the smallest id stays."""
+    rows = _numbered(docs)
+    return _first_of_each(rows, exact_dedup.exact_dedup(rows, ROW).select(ROW, F.col("keep_id").alias("group"))).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    dropped = jaccard_join.near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates one row with the smallest id stays."""
+    rows = _numbered(docs)
+    return _first_of_each(rows, jaccard_join.near_duplicates(rows, ROW).select(ROW, F.col("component_id").alias("group"))).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -39,10 +39,12 @@ def build_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs on one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="geoloom-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -74,15 +76,6 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of jobs whose results are written out.
-
-    It does so when the driver's JVM collects its garbage, which a large job may otherwise put off.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per application."""
     app = spark.sparkContext.applicationId
