@@ -25,6 +25,8 @@ from geoloom.session import materialize, ship_package
 
 #: Rounds at most, how much of a length a round covers, how sharply weights fall with coverage.
 ROUNDS, STEP, ETA = 600, 0.05, 2.0
+#: Rounds of the quick solution, which is solved again for what it leaves, and how much of a length a round covers.
+FILL_ROUNDS, FILL_STEP = 150, 0.5
 #: How far below the best value a configuration may be, how far above the bound a solution, how often what is left is solved.
 SLACK, GAP, AGAIN = 0.003, 0.001, 4
 #: (index of a length, pieces of it), by index.
@@ -114,6 +116,52 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.nd
     return best, last
 
 
+def _configs(values: np.ndarray, lengths: np.ndarray, capacity: int, order: np.ndarray):
+    """(best value of a configuration, an iterator over one configuration for each length of which any is within SLACK of it)."""
+    best, last = price(values, lengths, capacity)
+    chosen, size = last.tolist(), lengths.tolist()
+    down = np.maximum.accumulate(np.where(last >= 0, np.arange(capacity + 1), 0)).tolist()
+    near = (values > 0) & (values + best[capacity - lengths] >= (1 - SLACK) * best[capacity])
+
+    def made():
+        for k in order[near[order]].tolist():
+            config, c = Counter([k]), down[capacity - size[k]]
+            while c > 0:
+                config[chosen[c]] += 1
+                c = down[c - size[chosen[c]]]
+            key = tuple(sorted(config.items()))
+            yield key, [j for j, _ in key], np.array([m for _, m in key], float)
+
+    return float(best[capacity]), made()
+
+
+def fill(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = FILL_ROUNDS) -> tuple[dict[Config, float], float]:
+    """(x of each configuration, lower bound) of the LP min sum x_c with sum_c a_cl x_c >= n_l, with no length covered beyond n_l.
+
+    As cover(), but a length that is covered is worth nothing any more, so that few rounds do. What
+    stays uncovered when configurations run out, if anything, is left to others.
+    """
+    n, covered = counts.astype(float), np.zeros(len(counts))
+    bound, x = float((n * lengths).sum()) / capacity, {}
+    for _ in range(rounds):
+        open_ = covered < 1 - 1e-9
+        if not open_.any():
+            break
+        # Of nearly equal values the lengths with most pieces left are taken, or scarce ones would end every configuration's rise.
+        rest = n * (1 - covered)
+        values = np.where(open_, lengths * np.exp(-ETA * (covered - covered[open_].min())) * (1 + SLACK / 2 * rest / rest.max()), 0.0)
+        best, made = _configs(values, lengths, capacity, np.argsort(covered, kind="stable"))
+        bound = max(bound, float((n * values).sum()) / best)
+        gone = np.zeros(len(n))
+        for key, rows, a in made:
+            step = float((np.minimum(FILL_STEP - gone[rows], 1 - covered[rows] - gone[rows]) * n[rows] / a).min())
+            if step > 1e-9:
+                gone[rows] += step * a / n[rows]
+                x[key] = x.get(key, 0.0) + step
+        covered += gone
+    return x, bound
+
+
 def cover(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[Config, float], float]:
     """(x of each configuration, lower bound) of the LP min sum x_c with sum_c a_cl x_c >= n_l for each length l.
 
@@ -125,13 +173,13 @@ def cover(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int =
     of growing windows of rounds, as early rounds know no good weights yet; it is within GAP of the bound
     or what the rounds reached.
     """
-    n, size = counts.astype(float), lengths.tolist()
+    n = counts.astype(float)
     covered, since = np.zeros(len(n)), np.zeros(len(n))
     bound, least, found, x, reset = float((n * lengths).sum()) / capacity, np.inf, {}, {}, 16
     for r in range(rounds):
         values = lengths * np.exp(-ETA * (covered - covered.min()))
-        best, last = price(values, lengths, capacity)
-        bound = max(bound, float((n * values).sum() / best[capacity]))
+        best, made = _configs(values, lengths, capacity, np.argsort(covered, kind="stable"))
+        bound = max(bound, float((n * values).sum()) / best)
         if since.min() > 0 and sum(x.values()) / since.min() < least:
             least = sum(x.values()) / since.min()
             found = {key: v / since.min() for key, v in x.items()}
@@ -139,18 +187,8 @@ def cover(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int =
             break
         if r == reset:
             x, since, reset = {}, np.zeros(len(n)), reset * 3 // 2
-        chosen, gone = last.tolist(), np.zeros(len(n))
-        down = np.maximum.accumulate(np.where(last >= 0, np.arange(capacity + 1), 0)).tolist()
-        near = values + best[capacity - lengths] >= (1 - SLACK) * best[capacity]
-        for k in np.argsort(covered, kind="stable").tolist():
-            if not near[k]:
-                continue
-            config, c = Counter([k]), down[capacity - size[k]]
-            while c > 0:
-                config[chosen[c]] += 1
-                c = down[c - size[chosen[c]]]
-            key = tuple(sorted(config.items()))
-            rows, a = [j for j, _ in key], np.array([m for _, m in key], float)
+        gone = np.zeros(len(n))
+        for key, rows, a in made:
             step = float(((STEP - gone[rows]) * n[rows] / a).min())
             if step > 1e-9:
                 gone[rows] += step * a / n[rows]
@@ -187,34 +225,39 @@ def round_down(x: dict[Config, float], rest: np.ndarray) -> list[tuple[Config, i
 def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Configurations (pieces of each length) and how often to use each; they take up all pieces exactly.
 
-    The fractional covering solution is rounded down, the program is solved again for the pieces
-    that are left, AGAIN times at most, and best fit places what rounding leaves. Of the plans after
+    A fractional covering solution is rounded down, the program is solved again for the pieces that
+    are left, AGAIN times at most, and best fit places what rounding leaves. Of the plans after
     0, 1, ... solutions the one with the fewest sequences is returned, so none is worse than best
-    fit alone. Pieces of full length need no program.
+    fit alone. The quick solution fill() comes first; cover(), whose weights go on until they fit,
+    follows unless the plan is within GAP of the bound already. Pieces of full length need no program.
     """
-    rest = counts.astype(np.int64).copy()
-    plan: list[tuple[np.ndarray, int]] = []
     whole = lengths == capacity
-    if whole.any():
-        plan.append((whole.astype(np.int64), int(rest[whole][0])))
-        rest[whole] = 0
-    plans = [plan + _best_fit(lengths, rest, capacity)]
-    for _ in range(AGAIN):
-        open_ = np.flatnonzero(rest > 0)
-        if not len(open_):
-            break
-        left = rest[open_]
-        used = round_down(cover(lengths[open_], left, capacity, rounds)[0], left)
-        if not used:
-            break
-        rest[open_] = left
-        for key, times in used:
-            config = np.zeros(len(lengths), np.int64)
-            for j, m in key:
-                config[open_[j]] = m
-            plan.append((config, times))
+    start = [(whole.astype(np.int64), int(counts[whole][0]))] if whole.any() else []
+    plans, bound = [], 0.0
+    for program, most in ((fill, FILL_ROUNDS), (cover, rounds)):
+        plan, rest = list(start), np.where(whole, 0, counts).astype(np.int64)
         plans.append(plan + _best_fit(lengths, rest, capacity))
-    return min(plans, key=lambda p: sum(times for _, times in p))
+        for k in range(AGAIN):
+            open_ = np.flatnonzero(rest > 0)
+            if not len(open_):
+                break
+            left = rest[open_]
+            x, least = program(lengths[open_], left, capacity, most)
+            bound = max(bound, least if k == 0 else 0.0)
+            used = round_down(x, left)
+            if not used:
+                break
+            rest[open_] = left
+            for key, times in used:
+                config = np.zeros(len(lengths), np.int64)
+                for j, m in key:
+                    config[open_[j]] = m
+                plan.append((config, times))
+            plans.append(plan + _best_fit(lengths, rest, capacity))
+        best = min(plans, key=lambda p: sum(times for _, times in p))
+        if sum(times for _, times in best) - sum(times for _, times in start) <= np.ceil(bound * (1 + GAP) - 1e-6):
+            break
+    return best
 
 
 def _best_fit(lengths: np.ndarray, rest: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
