@@ -1,7 +1,8 @@
 """URL filtering by mined association rules and by host/path rules; DataFrame and SQL functions only.
 
-Labelled pages become transactions of URL tokens plus an item for a bad label. Spark's FP-growth
-mines frequent token combinations; rules `tokens -> bad` that pass confidence and lift are kept,
+Labelled pages become transactions of URL tokens (words of the whole host, path and query keys) plus
+an item for a bad label. Of tokens on the same pages one is kept, and Spark's FP-growth mines
+frequent combinations; rules `tokens -> bad` that pass confidence and lift are kept,
 and of nested ones only the shortest. They match through an inverted index from each rule's rarest
 token, so a page looks at those rules only whose rarest token it has.
 """
@@ -9,15 +10,17 @@ token, so a page looks at those rules only whose rarest token it has.
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Production parameters of the miner. An itemset needs this share of the labelled pages, so at
-#: most MAX_TOKENS / MIN_SUPPORT tokens and 2**MAX_TOKENS / MIN_SUPPORT combinations are frequent
-#: however many pages there are: the rules are a bounded table.
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MAX_TOKENS = 0.005, 0.6, 2.0, 9
+from geoloom.session import materialize
+
+#: Production parameters of the miner. An itemset needs this share of the labelled pages, so how many
+#: tokens are frequent, and with them the rules, doesn't grow with the number of pages.
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.005, 0.6, 2.0
 #: A combination also needs so many labelled pages, so that a handful never makes a rule.
 MIN_PAGES = 25
 BAD = "label=bad"
@@ -35,46 +38,45 @@ def path(url: Column) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """A bounded set of tokens that generalise: parts of the host, shape of the path, query keys."""
+    """The words of a URL: of all host labels, of the whole path (numbers as #), and all query keys."""
     h, p = host(url), path(url)
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
-    labels = F.split(h, r"\.")
-    named = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}="), value))
-    one = F.array(
-        named("scheme", F.regexp_extract(F.coalesce(url, F.lit("")), r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)),
-        named("host", h),
-        named("sub", F.element_at(labels, 1)),
-        named("site", F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), F.lit(3)))),
-        named("top", F.element_at(labels, -1)),
-        named("dir", F.regexp_extract(p, r"^/([^/]+)/", 1)),
-        named("ext", F.regexp_extract(p, r"\.([A-Za-z0-9]{1,8})$", 1)),
-        named("key", F.regexp_extract(query, r"^([^=&]+)", 1)),
-        F.when(url.contains("#"), F.lit("fragment")),
-    )
-    return F.array_distinct(F.array_compact(one))
+    named = lambda name, words: F.transform(F.filter(words, lambda w: w != ""), lambda w: F.concat(F.lit(f"{name}="), w))
+    words = F.transform(F.split(F.lower(p), r"[^a-z0-9\x80-\x{10FFFF}]+"), lambda w: F.when(w.rlike("^[0-9]+$"), F.lit("#")).otherwise(w))
+    return F.array_distinct(F.concat(named("host", F.split(h, r"[.-]")), named("path", words), named("key", F.transform(F.split(query, "&"), lambda k: F.substring_index(k, "=", 1)))))
+
+
+def frequent(seen: DataFrame, least: int) -> DataFrame:
+    """(token) of seen (row, tokens, bad) on so many bad pages at least: others are in no rule.
+
+    Of tokens that stand on the same pages the first stands for all, so that no combination is mined
+    many times over.
+    """
+    page = F.xxhash64("row")
+    each = seen.select("row", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("int")).alias("n_bad"), F.bit_xor(page).alias("pages"), F.sum(F.shiftrightunsigned(page, 20)).alias("more"))
+    return each.where(F.col("n_bad") >= least).groupBy("n", "n_bad", "pages", "more").agg(F.min("token").alias("token")).select("token")
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """(antecedent, confidence, support, lift) of rules for bad pages; labelled has tokens and bad (boolean)."""
-    baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
-    min_support = max(min_support, min(1.0, (MIN_PAGES - 0.5) / max(1, baskets.count())))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    seen = materialize(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"), "labelled")
+    pages = seen.count()
+    least = max(MIN_PAGES, -int(-min_support * pages // 1))
+    kept = seen.select("row", F.explode("tokens").alias("token")).join(frequent(seen, least), "token").groupBy("row").agg(F.collect_list("token").alias("tokens"))
+    baskets = seen.select("row", "bad").join(kept, "row", "left").select(F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    baskets = materialize(baskets, "baskets")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, pages)), minConfidence=min_confidence).fit(baskets)
     return model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).where(F.col("lift") >= min_lift).select("antecedent", "confidence", "support", "lift")
 
 
 def inverted_index(rules: DataFrame) -> dict[str, list[list[str]]]:
-    """Rarest token -> antecedents. Rules are bounded by their support (see MIN_SUPPORT)."""
+    """Rarest token -> antecedents, of nested ones the shortest. Rules are bounded by their support (see MIN_SUPPORT)."""
     found = sorted((sorted(r[0]) for r in rules.select("antecedent").collect()), key=lambda a: (len(a), a))
-    often: dict[str, int] = {}
-    kept: list[list[str]] = []
-    for a in found:
-        if not any(set(k) <= set(a) for k in kept):
-            kept.append(a)
-            for t in a:
-                often[t] = often.get(t, 0) + 1
+    often = Counter(t for a in found for t in a)
     index: dict[str, list[list[str]]] = {}
-    for a in kept:
-        index.setdefault(min(a, key=lambda t: (often[t], t)), []).append(a)
+    for a in found:
+        if not any(set(k) <= set(a) for t in a for k in index.get(t, ())):
+            index.setdefault(min(a, key=lambda t: (often[t], t)), []).append(a)
     return index
 
 
@@ -95,7 +97,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, st
     Without labelled rows no rules are mined.
     """
     seen = labelled.select(tokens(F.col("url")).alias("tokens"), F.coalesce("bad", F.lit(False)).alias("bad"))
-    index = inverted_index(mine_rules(seen, **mining)) if not seen.isEmpty() else {}
+    index = inverted_index(mine_rules(seen, **mining))
     d = pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias("_u")).select(id_col, host(F.col("_u")).alias("host"), path(F.col("_u")).alias("path"), tokens(F.col("_u")).alias("_tokens"))
     rule = verdict = F.lit(None).cast("string")
     for what, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
