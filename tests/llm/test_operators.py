@@ -118,8 +118,10 @@ def test_contamination(spark, hard, documents, rows):
 def test_contamination_in_blocks_is_the_same(spark, documents):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     one = decontaminate.find_contamination(documents, bench).collect()
-    assert len(decontaminate.benchmark_blocks(bench, "item_id", "text", 500)) > 2
-    assert sort(decontaminate.find_contamination(documents, bench, block_bytes=500).collect()) == sort(one)
+    assert len(list(decontaminate.benchmark_blocks(bench, "item_id", "text", 4000))) > 2
+    assert sort(decontaminate.find_contamination(documents, bench, block_bytes=4000).collect()) == sort(one)
+    clean = decontaminate.drop_contaminated(documents, bench, block_bytes=4000)
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in one if not r.spans}
 
 
 def test_exact_dedup(hard):
