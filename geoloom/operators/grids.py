@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,19 +83,22 @@ def overlay(base: DataFrame, over: DataFrame) -> DataFrame:
 def fill_holes(grid: DataFrame, cols: int, rows: int, passes: int = 64, digits: int = 2) -> DataFrame:
     """Fills empty cells by passes of 8-neighbour means, each from the pass before; what is left gets the median.
 
-    Only the frontier moves: each pass joins the cells filled last with the cells still empty.
+    Only the frontier moves. A cell that a pass leaves empty has no filled neighbour, so the next pass
+    needs only the cells filled last; and those next to them were filled in the last two passes or
+    are empty.
     """
     spark = grid.sparkSession
-    filled = materialize(grid.select("c", "r", F.col("v").cast("double").alias("v"), F.lit(0).alias("pass")), "filled")
+    layers = [materialize(grid.select("c", "r", F.col("v").cast("double").alias("v"), F.lit(0).alias("pass")), "filled")]
     for k in range(1, passes + 1):
-        near = neighbours(filled.select("c", "r", "v")).where((F.col("c") >= 0) & (F.col("c") < cols) & (F.col("r") >= 0) & (F.col("r") < rows))
-        new = near.join(filled.select("c", "r"), ["c", "r"], "left_anti").groupBy("c", "r").agg(half_up(F.sum(F.floor(F.col("v") * 10**digits + 0.5)) / F.count(F.lit(1)), 0).alias("s"))
+        near = neighbours(layers[-1].select("c", "r", "v")).where((F.col("c") >= 0) & (F.col("c") < cols) & (F.col("r") >= 0) & (F.col("r") < rows))
+        new = near.join(reduce(DataFrame.unionByName, layers[-2:]).select("c", "r"), ["c", "r"], "left_anti").groupBy("c", "r").agg(half_up(F.sum(F.floor(F.col("v") * 10**digits + 0.5)) / F.count(F.lit(1)), 0).alias("s"))
         new = materialize(new.select("c", "r", (F.col("s") / 10**digits).alias("v"), F.lit(k).alias("pass")), "fill")
         if new.isEmpty():
+            discard(new)
             break
-        both = materialize(filled.unionByName(new), "filled")
-        discard(filled, new)
-        filled = both
+        layers.append(new)
+    filled = materialize(reduce(DataFrame.unionByName, layers), "filled")
+    discard(*layers)
     from geoloom.operators.aggregates import histogram_percentiles
 
     median = histogram_percentiles(filled, [], "v", {"m": 0.5}, float(10**digits))
@@ -141,7 +146,8 @@ def box_blur(grid: DataFrame, radius: int, cols: int, rows: int) -> DataFrame:
 
     def one(df: DataFrame, axis: str, other: str, size: int) -> DataFrame:
         # Each value counts once for each window place that clamps to it.
-        places = F.filter(F.sequence(F.lit(-radius), F.lit(size - 1 + radius)), lambda k: F.least(F.greatest(k, F.lit(0)), F.lit(size - 1)) == F.col(axis))
+        at = F.col(axis)
+        places = F.sequence(F.when(at == 0, -radius).otherwise(at), F.when(at == size - 1, size - 1 + radius).otherwise(at))
         spread = df.withColumn("_p", F.explode(places)).withColumn("_t", F.explode(F.sequence(F.col("_p") - radius, F.col("_p") + radius))).where((F.col("_t") >= 0) & (F.col("_t") < size))
         return spread.groupBy(other, F.col("_t").cast("int").alias(axis)).agg((F.sum("v") / (2 * radius + 1)).alias("v"))
 

@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 from geoloom.functions import geometry
+from geoloom.session import materialize
 
 
 def cell_of(c: Column, size: float) -> Column:
@@ -73,7 +75,8 @@ def solid_top(points: DataFrame, roofs: DataFrame, top: str, size: float = 32.0,
     span = (cell_of(b["x1"], size) - cell_of(b["x0"], size) + 1) * (cell_of(b["z1"], size) - cell_of(b["z0"], size) + 1)
     d = roofs.withColumn("_span", span)
     small, big = d.where(F.col("_span") <= large), d.where(F.col("_span") > large)
-    keyed = points.withColumn("_id", F.monotonically_increasing_id()) if "_id" not in points.columns else points
+    # Numbers are written, as two evaluations may number rows differently.
+    keyed = points if "_id" in points.columns else materialize(points.withColumn("_id", F.monotonically_increasing_id()), "keyed")
     hits = points_in_rings(keyed, small.select("ring", top), size).select("_id", top).unionByName(points_in_rings(keyed, big.select("ring", top), size * 8).select("_id", top))
     return keyed.join(hits.groupBy("_id").agg(F.max(top).alias("top")), "_id", "left")
 

@@ -1,7 +1,6 @@
 """Spatial tables derived by formula from the driver's tables, as DataFrames and as SQL.
 
-The world is a square of 1000 m. All rows of the source tables take part, but only each tenth part has
-a footprint, in Spark and in SQL.
+The world is a square of 1000 m. All rows of the source tables take part, in Spark and in SQL.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Square outlines: idx, name nm, corner x0, z0, side w, ring of four corners."""
-    t = table(spark, sf_dir, "part").where("p_partkey % 10 = 0")
+    t = table(spark, sf_dir, "part")
     t = t.select(F.col("p_partkey").alias("idx"), F.col("p_brand").alias("nm"), _scaled("p_partkey * 7907", 96000).alias("x0"), _scaled("p_partkey * 5003", 96000).alias("z0"), (8 + F.col("p_size") % 32).cast("double").alias("w"))
     corner = lambda dx, dz: F.array(F.col("x0") + F.col("w") * dx, F.col("z0") + F.col("w") * dz)
     return t.withColumn("ring", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)))
@@ -98,7 +97,7 @@ _CTE = {
         CASE WHEN l_returnflag = 'N' THEN 2 ELSE 1 END AS cls FROM lineitem""",
     "footprints": """SELECT *, [[x0, z0], [x0 + w, z0], [x0 + w, z0 + w], [x0, z0 + w]] AS ring FROM (
         SELECT p_partkey AS idx, p_brand AS nm, CAST(p_partkey * 7907 % 96000 AS DOUBLE) / 100 AS x0,
-        CAST(p_partkey * 5003 % 96000 AS DOUBLE) / 100 AS z0, CAST(8 + p_size % 32 AS DOUBLE) AS w FROM part WHERE p_partkey % 10 = 0)""",
+        CAST(p_partkey * 5003 % 96000 AS DOUBLE) / 100 AS z0, CAST(8 + p_size % 32 AS DOUBLE) AS w FROM part)""",
     "grid": """SELECT CAST(floor(x / 20 + 0.5) AS INTEGER) AS c, CAST(floor(z / 20 + 0.5) AS INTEGER) AS r,
         floor(sum(floor(h * 100 + 0.5)) / count(*) + 0.5) / 100 AS v, count(*) AS n FROM points WHERE cls = 2 GROUP BY 1, 2""",
     "voids": "SELECT * FROM grid WHERE (r * 7 + c * 13) % 11 >= 3",

@@ -14,6 +14,7 @@ from geoloom.plans.fixtures import with_
 from geoloom.plans.q_join import CENTRES, IN, centres, feet
 from geoloom.plans.q_scalar import sq
 from geoloom.plans.registry import query
+from geoloom.session import materialize
 
 TALL = f"SELECT f.idx, p.h, (f.idx % 7)::DOUBLE / 2 AS base FROM points p JOIN footprints f ON {IN} AND p.cls = 1"
 
@@ -31,8 +32,8 @@ S = "SELECT idx, list_sort(list(h)) AS v, any_value(base) AS base FROM tall GROU
 QS = {"p50": 0.5, "p75": 0.75, "p98": 0.98}
 
 
-def stats(spark, sf):
-    return agg.index_percentiles(tall(spark, sf), ["idx"], "h", QS, F.first("base").alias("base"))
+def stats(spark, sf, returns=None):
+    return agg.index_percentiles(returns or tall(spark, sf), ["idx"], "h", QS, F.first("base").alias("base"))
 
 
 @query("a1_index_percentile", with_("points", "footprints", tall=TALL, s=S) + f" SELECT idx, len(v) AS n, {pct('v', .5)} AS p50, {pct('v', .75)} AS p75, {pct('v', .98)} AS p98 FROM s")
@@ -56,7 +57,9 @@ def a2(spark, sf):
 
 
 def roofs(spark, sf):
-    d = stats(spark, sf).join(agg.dense_band(tall(spark, sf), ["idx"], F.col("h") - F.col("base")), "idx")
+    """Percentiles and dense band of one join, which is written once."""
+    returns = materialize(tall(spark, sf), "returns")
+    d = stats(spark, sf, returns).join(agg.dense_band(returns, ["idx"], F.col("h") - F.col("base")), "idx")
     return d.withColumn("roof", rules.roof_rule(F.col("p50"), F.col("p75"), F.col("p98"), F.col("density"), F.col("base")))
 
 

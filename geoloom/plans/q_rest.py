@@ -309,24 +309,22 @@ def i12(spark, sf):
 # Graphs
 
 
-def walk(spark, sf, shorter=None):
-    """The graph of all segments, or of those shorter than so many metres."""
-    s = segments(spark, sf)
-    s = (s if shorter is None else s.where(F.col("len") < shorter)).select("ax", "az", "bx", "bz", (F.col("okey") % 5 == 0).alias("steps"))
+def walk(spark, sf):
+    """The graph of all segments."""
+    s = segments(spark, sf).select("ax", "az", "bx", "bz", (F.col("okey") % 5 == 0).alias("steps"))
     return graph.build_graph(s, 20.0)
 
 
 GRAPH = ("paths",), {
     "s": "SELECT okey, x AS ax, z AS az, bx, bz, sqrt((bx - x) ** 2 + (bz - z) ** 2) AS len FROM (SELECT *, lead(x) OVER w AS bx, lead(z) OVER w AS bz FROM paths WINDOW w AS (PARTITION BY okey ORDER BY pos)) WHERE bx IS NOT NULL",
-    "d": "SELECT CAST(floor(ax / 20 + 0.5) AS BIGINT) * 16777216 + CAST(floor(az / 20 + 0.5) AS BIGINT) AS src, CAST(floor(bx / 20 + 0.5) AS BIGINT) * 16777216 + CAST(floor(bz / 20 + 0.5) AS BIGINT) AS dst, len * CASE WHEN okey % 5 = 0 THEN 3.5::DOUBLE ELSE 1 END AS w FROM s WHERE len < 250",
+    "d": "SELECT CAST(floor(ax / 20 + 0.5) AS BIGINT) * 16777216 + CAST(floor(az / 20 + 0.5) AS BIGINT) AS src, CAST(floor(bx / 20 + 0.5) AS BIGINT) * 16777216 + CAST(floor(bz / 20 + 0.5) AS BIGINT) AS dst, len * CASE WHEN okey % 5 = 0 THEN 3.5::DOUBLE ELSE 1 END AS w FROM s",
     "e": "SELECT src, dst, min(w) AS w FROM (SELECT src, dst, w FROM d WHERE src <> dst UNION ALL SELECT dst, src, w FROM d WHERE src <> dst) GROUP BY 1, 2",
 }
 
 
 @query("i1_walk_graph", with_(*GRAPH[0], **GRAPH[1]) + f" SELECT src, dst, {sq('w', 3)} AS w FROM e")
 def i1(spark, sf):
-    """Of segments under 250 m only, as its SQL says."""
-    return walk(spark, sf, 250)[1].select("src", "dst", r(F.col("w"), 3).alias("w"))
+    return walk(spark, sf)[1].select("src", "dst", r(F.col("w"), 3).alias("w"))
 
 
 @query("i2_bridge_candidates")
@@ -558,7 +556,7 @@ def x2(spark, sf):
     return centres(spark, sf).transform(sampler).select("id", (F.col("side") + F.coalesce("v", F.lit(0.0))).alias("top"))
 
 
-@query("i14_template_fit", with_("places") + " SELECT id, 500 + (x - 500) AS bx, 500 + (z - 500) AS bz FROM places WHERE id % 4 = 0")
+@query("i14_template_fit", with_("places") + " SELECT id, 500 + (x - 500) AS bx, 500 + (z - 500) AS bz FROM places")
 def i14(spark, sf):
     """Exhaustive sweep on a lattice, then coordinate descent with halved steps, all places at once."""
     ship_package(spark)
@@ -577,7 +575,7 @@ def i14(spark, sf):
             rows.append(best[1:])
         return pd.DataFrame(rows, columns=["bx", "bz"])
 
-    return fx.places(spark, sf).where("id % 4 = 0").withColumn("b", refine("x", "z")).select("id", "b.bx", "b.bz")
+    return fx.places(spark, sf).withColumn("b", refine("x", "z")).select("id", "b.bx", "b.bz")
 
 
 # Fixpoints

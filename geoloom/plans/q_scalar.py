@@ -235,7 +235,7 @@ _LADDER = "CASE WHEN w * w < 100 THEN 4.0::DOUBLE WHEN w * w < 400 THEN 7 WHEN w
 @query("c5_height_by_tags", with_("footprints") + f" SELECT idx, {sq('CASE WHEN idx % 3 = 0 THEN w WHEN idx % 3 = 1 THEN (idx % 12 + 1) * 3.6 + 1.2 ELSE ' + _LADDER + ' END')} AS h, CASE WHEN idx % 3 = 0 THEN 'height' WHEN idx % 3 = 1 THEN 'levels' ELSE 'area' END AS src FROM footprints")
 def c5(spark, sf):
     tag, levels = F.when(F.col("idx") % 3 == 0, F.col("w")), F.when(F.col("idx") % 3 == 1, F.col("idx") % 12 + 1)
-    h = rules.height_by_precedence(tag, levels, geometry.area(F.col("ring")), RUNGS, TOP, 3.6, 1.2)
+    h = rules.height_by_precedence(tag, levels, r(geometry.area(F.col("ring")), 6), RUNGS, TOP, 3.6, 1.2)
     return fx.footprints(spark, sf).withColumn("t", h).select("idx", r(F.col("t.h")).alias("h"), F.col("t.src").alias("src"))
 
 
