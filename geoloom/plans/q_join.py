@@ -75,7 +75,7 @@ def j7(spark, sf):
     free = b.join(exact.select("other"), "other", "left_anti")
     # Affixes as equi-joins: every length that names have, of the other side's text.
     lengths = a.select(F.length("n").alias("len")).distinct()
-    cut = free.join(F.broadcast(lengths), F.length("m") > F.col("len"))
+    cut = free.join(lengths, F.length("m") > F.col("len"))
     suffix = cut.select("other", F.expr("right(m, len)").alias("n")).join(a, "n").select("id", "other", F.lit(2).alias("rank"))
     prefix = cut.select("other", F.expr("left(m, len)").alias("n")).join(a, "n").select("id", "other", F.lit(3).alias("rank"))
     return spatial.first_per(exact.unionByName(suffix).unionByName(prefix), ["id"], [F.col("rank"), F.col("other")])

@@ -13,10 +13,10 @@ from geoloom.operators import graph, grids, spatial
 from geoloom.plans import fixtures as fx
 from geoloom.plans.fixtures import with_
 from geoloom.plans.q_agg import FULL, full, segments
-from geoloom.plans.q_join import CENTRES, centres, feet
+from geoloom.plans.q_join import CENTRES, IN, centres, feet
 from geoloom.plans.q_scalar import sq
 from geoloom.plans.registry import query
-from geoloom.session import materialize, ship_package
+from geoloom.session import discard, materialize, ship_package
 from geoloom.sources import files, readers, sinks
 from geoloom.streaming import state
 
@@ -442,18 +442,6 @@ def _merge(p: pd.DataFrame) -> pd.DataFrame:
 grouped("j29_merge_overlaps", "g string, x0 double, z0 double, x1 double, z1 double", _merge, boxes_by_name)
 
 
-def _sequential(p: pd.DataFrame) -> pd.DataFrame:
-    kept: list = []
-    for row in p.sort_values("idx").itertuples():
-        x, z = row.x0 + row.w / 2, row.z0 + row.w / 2
-        if not any(k.x0 <= x < k.x0 + k.w and k.z0 <= z < k.z0 + k.w for k in kept):
-            kept.append(row)
-    return pd.DataFrame({"g": [k.g for k in kept], "idx": [k.idx for k in kept]})
-
-
-grouped("j5_sequential_drop", "g string, idx long", _sequential, boxes_by_name)
-
-
 def _furniture(p: pd.DataFrame) -> pd.DataFrame:
     out = lines.place_greedily([(a, b, k) for a, b, k in zip(p.x, p.z, p.kind)], 12.0) if len(p := p.sort_values(["okey", "line", "pkey", "skey"])) else []
     return pd.DataFrame([(int(p.g.iloc[0]), *o) for o in out], columns=["g", "x", "z", "kind"])
@@ -465,9 +453,24 @@ def candidates(spark, sf):
 
 
 grouped("t5_furniture", "g int, x double, z double, kind string", _furniture, candidates)
-grouped("t9_zone_placement", "g int, x double, z double, kind string", _furniture, candidates)
 
 
+_REASON = "CASE WHEN least(x % 200, z % 200) < 2 OR greatest(x % 200, z % 200) > 198 THEN 'margin' WHEN {inside} THEN 'building' WHEN h >= 28 THEN 'tall' END AS reason"
+_ITEM = [
+    "CAST(floor(x / 200) + 5 * floor(z / 200) AS INTEGER) AS zone",
+    "CASE WHEN h < 5 THEN 'surface' WHEN h < 12 THEN 'hedge' WHEN h < 20 THEN 'boulder' ELSE 'furniture' END AS kind",
+    "greatest(0.5::DOUBLE, least(2.5::DOUBLE, h / 8)) AS size",
+]
+
+
+@query("t9_zone_placement", with_("points", "footprints", p="SELECT * FROM points p WHERE cls = 2", q=f"SELECT *, EXISTS (SELECT 1 FROM footprints f WHERE {IN}) AS inside FROM p") + f" SELECT okey, line, pkey, skey, {", ".join(_ITEM)}, {_REASON.format(inside='inside')} FROM q")
+def t9(spark, sf):
+    """Items of zones, sized by height; those at a zone's margin, in a building or too tall are rejected with the reason."""
+    at = ["okey", "line", "pkey", "skey", "x", "z"]
+    p = fx.points(spark, sf).where("cls = 2")
+    inside = spatial.points_in_rings(p.select(*at), feet(spark, sf)).select(*at).distinct().withColumn("inside", F.lit(True))
+    return p.join(inside, at, "left").selectExpr("okey", "line", "pkey", "skey", *_ITEM, _REASON.format(inside="inside"))
+
 @query("t6_seeded_placement")
 def t6(spark, sf):
     ship_package(spark)
@@ -581,20 +584,46 @@ def i14(spark, sf):
 # Fixpoints
 
 
-@query("j9_host_settlement")
-def j9(spark, sf):
-    """A name is held by one mass within 150 m: rounds in which each keeps it unless a smaller id near by still has it, until nothing changes."""
-    from geoloom.session import discard
-
-    m = centres(spark, sf)
-    b = m.select(F.col("id").alias("other"), F.col("name").alias("bname"), F.col("x").alias("bx"), F.col("z").alias("bz"))
-    pairs = materialize(spatial.within_distance(m, b, 150.0).where("other < id AND name = bname").select("id", "other"), "rivals")
-    held = materialize(m.select("id", F.lit(True).alias("held")), "held")
+def settle(ids, rivals):
+    """(id, held): in the order of ids, one is held unless a smaller rival (id, other) is. Rounds over all until nothing changes, as no decision waits for more than those before it."""
+    held = materialize(ids.select("id", F.lit(True).alias("held")), "held")
     while True:
-        lost = pairs.join(held.where("held").select(F.col("id").alias("other")), "other").select("id").distinct().withColumn("lost", F.lit(True))
+        lost = rivals.join(held.where("held").select(F.col("id").alias("other")), "other").select("id").distinct().withColumn("lost", F.lit(True))
         new = materialize(held.join(lost, "id", "left").select("id", F.col("lost").isNull().alias("held")), "held")
         same = new.join(held.withColumnRenamed("held", "was"), "id").where("held <> was").isEmpty()
         discard(held)
         held = new
         if same:
             return held
+
+
+#: One by one: rows t (n, id, rivals) in the order of n; kept gathers the ids that are held.
+SETTLED = """steps AS (
+  SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL
+  SELECT t.n, CASE WHEN list_has_any(s.kept, t.rivals) THEN s.kept ELSE list_append(s.kept, t.id) END FROM steps s JOIN t ON t.n = s.n + 1
+), kept AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM steps ORDER BY n DESC LIMIT 1))"""
+_RIVALS = "SELECT row_number() OVER (ORDER BY m.id) AS n, m.id, coalesce(p.rivals, []::BIGINT[]) AS rivals FROM m LEFT JOIN (SELECT a.id, list(b.id) AS rivals FROM m a JOIN m b ON b.id < a.id AND {on} GROUP BY a.id) p USING (id)"
+
+
+def settled(on: str) -> str:
+    return with_("footprints", m="SELECT idx AS id, nm AS name, x0, z0, w AS side, x0 + w / 2 AS x, z0 + w / 2 AS z FROM footprints", t=_RIVALS.format(on=on)).replace("WITH ", "WITH RECURSIVE ", 1).replace(" t AS (", " t AS MATERIALIZED (") + ", " + SETTLED
+
+
+@query("j9_host_settlement", settled("a.name = b.name AND (a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) <= 22500") + " SELECT id, id IN (SELECT id FROM kept) AS held FROM m")
+def j9(spark, sf):
+    """A name is held by one mass within 150 m of another."""
+    m = centres(spark, sf)
+    b = m.select(F.col("id").alias("other"), F.col("name").alias("bname"), F.col("x").alias("bx"), F.col("z").alias("bz"))
+    return settle(m, materialize(spatial.within_distance(m, b, 150.0).where("other < id AND name = bname").select("id", "other"), "rivals"))
+
+
+@query("j5_sequential_drop", settled("b.x0 <= a.x AND a.x < b.x0 + b.side AND b.z0 <= a.z AND a.z < b.z0 + b.side") + " SELECT id AS idx FROM kept")
+def j5(spark, sf):
+    """Rings in one order over all; one whose middle lies in a ring that is accepted already is dropped."""
+    f = fx.footprints(spark, sf).select(F.col("idx").alias("other"), F.col("x0").alias("rx"), F.col("z0").alias("rz"), F.col("w").alias("side2"), "ring")
+    m = centres(spark, sf).select("id", "x", "z")
+    cells = spatial.ring_cells(f, 60.0)
+    near = m.withColumn("_px", spatial.cell_of(F.col("x"), 60.0)).withColumn("_pz", spatial.cell_of(F.col("z"), 60.0))
+    inside = (F.col("_px") == F.col("_cx")) & (F.col("_pz") == F.col("_cz")) & (F.col("rx") <= F.col("x")) & (F.col("x") < F.col("rx") + F.col("side2")) & (F.col("rz") <= F.col("z")) & (F.col("z") < F.col("rz") + F.col("side2"))
+    rivals = materialize(near.join(cells, inside).where("other < id").select("id", "other"), "rivals")
+    return settle(m, rivals).where("held").select(F.col("id").alias("idx"))
