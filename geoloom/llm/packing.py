@@ -228,11 +228,12 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int =
     A fractional covering solution is rounded down, the program is solved again for the pieces that
     are left, AGAIN times at most, and best fit places what rounding leaves. Of the plans after
     0, 1, ... solutions the one with the fewest sequences is returned, so none is worse than best
-    fit alone. The quick solution fill() comes first; cover(), whose weights go on until they fit,
-    follows unless the plan is within GAP of the bound already. Pieces of full length need no program.
+    fit alone. The quick solution fill() comes first, then cover(), whose weights go on until they
+    fit; a plan within GAP of the bound ends it. Pieces of full length need no program.
     """
     whole = lengths == capacity
     start = [(whole.astype(np.int64), int(counts[whole][0]))] if whole.any() else []
+    size = lambda p: sum(times for _, times in p) - sum(times for _, times in start)
     plans, bound = [], 0.0
     for program, most in ((fill, FILL_ROUNDS), (cover, rounds)):
         plan, rest = list(start), np.where(whole, 0, counts).astype(np.int64)
@@ -254,10 +255,9 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int =
                     config[open_[j]] = m
                 plan.append((config, times))
             plans.append(plan + _best_fit(lengths, rest, capacity))
-        best = min(plans, key=lambda p: sum(times for _, times in p))
-        if sum(times for _, times in best) - sum(times for _, times in start) <= np.ceil(bound * (1 + GAP) - 1e-6):
-            break
-    return best
+            if size(min(plans, key=size)) <= np.ceil(bound * (1 + GAP) - 1e-6):
+                return min(plans, key=size)
+    return min(plans, key=size)
 
 
 def _best_fit(lengths: np.ndarray, rest: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
