@@ -208,8 +208,12 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     are looked at, so next to nothing is shuffled, whatever the corpus' size.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text"))
-    limit = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", F.least(F.lit(1.0), (2.0 * per_lang + 50) / F.col("n")).alias("share"))
-    near = rows.join(limit, "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * float(1 << 40))
+    # A row for each label of the model that is about to be fitted, which holds a column of weights for each.
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return []
+    least = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(int(min(1.0, (2.0 * per_lang + 50) / r.n) * (1 << 40))))])
+    near = rows.where(F.pmod("h", F.lit(1 << 40)) < F.element_at(least, F.col("lang")))
     w = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h", "text")
     return near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang).orderBy("lang", "h", "text").select("text", "lang").collect()
 
