@@ -96,14 +96,12 @@ def c12(spark, sf):
     return g.select("idx", r(F.greatest(agg.at_percentile(F.col("s"), 0.5) + F.col("w") / 4, F.array_max("s")), 4).alias("y"))
 
 
-@query("f10_visibility_tiers")
+@query("f10_visibility_tiers", with_("ticks", d="""SELECT user_id, seq, last_value(CASE WHEN value < 20 THEN true WHEN value >= 30 THEN false END IGNORE NULLS) OVER w AS near,
+    last_value(CASE WHEN value < 60 THEN true WHEN value >= 80 THEN false END IGNORE NULLS) OVER w AS far FROM ticks WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING)""") + """
+  SELECT user_id, seq, CASE WHEN near THEN 'full' WHEN far THEN 'simple' ELSE 'hidden' END AS tier FROM d""")
 def f10(spark, sf):
-    ship_package(spark)
-    near = (state.VISIBILITY[0], lambda s, t: state.visibility_step(s, t, 20.0, 10.0, 1), "shown boolean")
-    far = (state.VISIBILITY[0], lambda s, t: state.visibility_step(s, t, 60.0, 20.0, 1), "shown boolean")
-    t = fx.ticks(spark, sf)
-    a, b = state.run_batch(t, near).withColumnRenamed("shown", "near"), state.run_batch(t, far).withColumnRenamed("shown", "far")
-    return a.join(b, ["user_id", "seq"]).select("user_id", "seq", F.when(F.col("near"), "full").when(F.col("far"), "simple").otherwise("hidden").alias("tier"))
+    within = lambda near, band: state.shown(F.col("value"), F.col("seq") - 1, "user_id", "seq", near, band, 1)
+    return fx.ticks(spark, sf).select("user_id", "seq", F.when(within(20.0, 10.0), "full").when(within(60.0, 20.0), "simple").otherwise("hidden").alias("tier"))
 
 
 @query("i15_facility_markings")

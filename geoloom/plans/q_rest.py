@@ -274,7 +274,12 @@ def m8(spark, sf):
     return gone.groupBy("r").agg(((F.max("c") + 1) * 20.0).alias("x"))
 
 
-@query("i10_fill_holes")
+# A pass sees every cell and its eight neighbours; a filled cell keeps its own value. 64 passes fill all of a grid that has any cell.
+@query("i10_fill_holes", with_("voids").replace("WITH ", "WITH RECURSIVE ", 1) + """ , off AS (SELECT a.i AS dc, b.i AS dr FROM range(-1, 2) a(i), range(-1, 2) b(i)),
+  f(k, c, r, v, pass) AS (SELECT 0, c, r, v, 0 FROM voids
+    UNION ALL SELECT k + 1, c + dc, r + dr, CASE WHEN bool_or(dc = 0 AND dr = 0) THEN max(v) FILTER (dc = 0 AND dr = 0) ELSE floor(sum(floor(v * 100 + 0.5)) / count(*) + 0.5) / 100 END, coalesce(max(pass) FILTER (dc = 0 AND dr = 0), k + 1)
+      FROM f, off WHERE k < 64 AND c + dc BETWEEN 0 AND 50 AND r + dr BETWEEN 0 AND 50 GROUP BY k, c + dc, r + dr)
+  SELECT c::INTEGER AS c, r::INTEGER AS r, v, pass::INTEGER AS pass FROM f WHERE k = 64""")
 def i10(spark, sf):
     return grids.fill_holes(fx.voids(spark, sf), 51, 51)
 
@@ -471,7 +476,20 @@ def t9(spark, sf):
     inside = spatial.points_in_rings(p.select(*at), feet(spark, sf)).select(*at).distinct().withColumn("inside", F.lit(True))
     return p.join(inside, at, "left").selectExpr("okey", "line", "pkey", "skey", *_ITEM, _REASON.format(inside="inside"))
 
-@query("t6_seeded_placement")
+def drawn(upto: str) -> str:
+    """SQL tables: a footprint's numbers u of lines.mulberry32 seeded by idx, n from 1 to upto. The constants are fixed values."""
+    word = "4294967296::UBIGINT"
+    return with_(
+        "footprints",
+        d0=f"SELECT idx, w, n, ((idx + n * 1831565813) % 4294967296)::UBIGINT AS a FROM (SELECT idx, w, unnest(range(1, {upto} + 1)) AS n FROM footprints)",
+        d1=f"SELECT idx, w, n, (xor(a, a >> 15) * (a | 1::UBIGINT)) % {word} AS t FROM d0",
+        d2=f"SELECT idx, w, n, xor(t, (t + (xor(t, t >> 7) * (t | 61::UBIGINT)) % {word}) % {word}) AS t FROM d1",
+        d="SELECT idx, w, n, xor(t, t >> 14)::DOUBLE / 4294967296 AS u FROM d2",
+    )
+
+
+@query("t6_seeded_placement", drawn("(2 * (w * 10 // 8)::BIGINT + 2)") + """ , s AS (SELECT idx, w, n, sum(8 + 12 * u) OVER (PARTITION BY idx ORDER BY n) AS s FROM d WHERE n % 2 = 1)
+  SELECT s.idx, round(s.s, 6) AS s, CASE WHEN d.u < 0.5 THEN 'obstacle' ELSE 'coin' END AS kind FROM s JOIN d ON d.idx = s.idx AND d.n = s.n + 1 WHERE s.s < s.w * 10""")
 def t6(spark, sf):
     ship_package(spark)
 
@@ -486,7 +504,7 @@ def t6(spark, sf):
     return feet(spark, sf).select("idx", "w").mapInPandas(lambda it: (run(p) for p in it), "idx long, s double, kind string")
 
 
-@query("p11_seeded_numbers")
+@query("p11_seeded_numbers", drawn("1") + " SELECT idx, u AS v FROM d")
 def p11b(spark, sf):
     ship_package(spark)
 
@@ -523,10 +541,9 @@ def st3(spark, sf):
     return state.progress(fx.ticks(spark, sf), {"click": 1, "view": 3})
 
 
-@query("st4_visibility")
+@query("st4_visibility", with_("ticks") + """ SELECT user_id, seq, coalesce(last_value(CASE WHEN (seq - 1) % 6 > 0 THEN NULL WHEN value < 40 THEN true WHEN value >= 60 THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING), false) AS shown FROM ticks""")
 def st4(spark, sf):
-    ship_package(spark)
-    return state.run_batch(fx.ticks(spark, sf), state.VISIBILITY)
+    return fx.ticks(spark, sf).select("user_id", "seq", state.shown(F.col("value"), F.col("seq") - 1, "user_id", "seq").alias("shown"))
 
 
 @query("st5_explore")

@@ -264,7 +264,13 @@ def c8(spark, sf):
     return d.select(*KEY, r(F.col("hsl.l")).alias("light"), r(F.col("hsl.s")).alias("sat"), r(lin).alias("lin"), F.col("rgb.r").alias("back"), colour.to_hex(*a).alias("hex"), r(colour.luma709(*a)).alias("l709"), r(colour.luma601(*a)).alias("l601"))
 
 
-@query("c8_gamut_clamp")
+_CHANNEL = "CAST(floor(greatest(0, least(1, l - s * least(l, 1 - l) * greatest(least({k} - 3, 9 - {k}, 1), -1))) * 255 + 0.5) AS INTEGER)"
+
+
+@query("c8_gamut_clamp", with_("pixels", n="SELECT okey, line, pkey, skey, red / 255.0::DOUBLE AS a, green / 255.0::DOUBLE AS b, blue / 255.0::DOUBLE AS c FROM pixels",
+  m="SELECT *, greatest(a, b, c) AS t, greatest(a, b, c) - least(a, b, c) AS d, (greatest(a, b, c) + least(a, b, c)) / 2 AS l0 FROM n",
+  h="SELECT *, CASE WHEN d = 0 THEN 0 WHEN t = a THEN CASE WHEN b < c THEN ((b - c) / d + 6) % 6 ELSE (b - c) / d % 6 END WHEN t = b THEN (c - a) / d + 2 ELSE (a - b) / d + 4 END / 6 * 12 AS h, least(CASE WHEN d = 0 THEN 0 ELSE d / (1 - abs(l0 * 2 - 1)) END, 0.55) AS s, greatest(0.2::DOUBLE, least(0.85::DOUBLE, l0)) AS l FROM m")
+  + f" SELECT okey, line, pkey, skey, {_CHANNEL.format(k='(h % 12)')} AS red, {_CHANNEL.format(k='((h + 8) % 12)')} AS green, {_CHANNEL.format(k='((h + 4) % 12)')} AS blue FROM h")
 def c8b(spark, sf):
     a = [F.col(c) for c in ("red", "green", "blue")]
     return fx.pixels(spark, sf).withColumn("k", colour.clamp_gamut(*a)).select(*KEY, F.col("k.r").alias("red"), F.col("k.g").alias("green"), F.col("k.b").alias("blue"))

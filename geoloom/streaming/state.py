@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Each machine is (start, step): step(state, tick) -> (state, output), states and outputs being tuples.
@@ -65,9 +65,9 @@ QUALITY = ((0, 0.0, 0, 0.0, 0.0, 3000.0, 0), quality_step, "level long")
 
 
 def visibility_step(state: tuple, tick: dict, near: float = 40.0, band: float = 20.0, every: int = 6) -> tuple[tuple, tuple]:
-    """Shown from near on, hidden beyond near + band, looked at every so many frames. state: frame, shown."""
+    """Shown from near on, hidden beyond near + band, looked at every so many frames; no value changes nothing. state: frame, shown."""
     frame, shown = state
-    if frame % every == 0:
+    if frame % every == 0 and tick["value"] is not None:
         shown = int(tick["value"] < near + (band if shown else 0))
     return (frame + 1, shown), (bool(shown),)
 
@@ -75,6 +75,13 @@ def visibility_step(state: tuple, tick: dict, near: float = 40.0, band: float =
 VISIBILITY = ((0, 0), visibility_step, "shown boolean")
 
 
+def shown(value: Column, frame: Column, key: str, order: str, near: float = 40.0, band: float = 20.0, every: int = 6) -> Column:
+    """visibility_step for a batch, as a window: the last decision counts, and a value between the bounds decides nothing."""
+    decided = F.when(frame % every == 0, F.when(value < near, F.lit(True)).when(value >= near + band, F.lit(False)))
+    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(F.last(decided, ignorenulls=True).over(so_far), F.lit(False))
+
+
 def explore_step(state: tuple, tick: dict, bound: float = 500.0, floor: float = 2.0) -> tuple[tuple, tuple]:
     """A flight: moves are clamped to the world, climbing is in proportion to the height. state: x, z, y."""
     x, z, y = state
@@ -128,8 +135,6 @@ def run_stream(ticks: DataFrame, machine: tuple, key: str = "user_id", order: tu
 
 def progress(events: DataFrame, weights: dict[str, float], key: str = "user_id") -> DataFrame:
     """Monotone percent from weighted phases: the running sum of first sightings, never falling."""
-    from pyspark.sql import Window
-
     table = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
     first = F.row_number().over(Window.partitionBy(key, "event_type").orderBy("seq")) == 1
     done = F.sum(F.when(first, F.coalesce(F.try_element_at(table, F.col("event_type")), F.lit(0.0))).otherwise(0.0))

@@ -215,6 +215,15 @@ def test_expectations_fail_on_missing_values(spark):
     assert not sinks.expectations(d, {"max": (F.max("v"), "<=", 1)}).first().ok
 
 
+def test_visibility_window_equals_its_steps(spark):
+    rows = [(u, s, v) for u in range(3) for s, v in enumerate([50.0, 41.0, 39.9, None, 59.9, 60.0, 40.0, 20.0, float("nan"), 59.0, None, 61.0, 30.0, 1.0][u:], 1)]
+    ticks = spark.createDataFrame(rows, "user_id long, seq int, value double").withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    for every in (1, 2, 6):
+        machine = (state.VISIBILITY[0], lambda s, t, every=every: state.visibility_step(s, t, every=every), "shown boolean")
+        got = ticks.select("user_id", "seq", state.shown(F.col("value"), F.col("seq") - 1, "user_id", "seq", every=every).alias("shown"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, state.run_batch(ticks, machine).collect()))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     ticks = spark.createDataFrame([(u, s, e, 50.0, 400) for u in (1, 2) for s, e in enumerate(("click", "view", "purchase", "error", "signup", "error"), 1)], "user_id long, seq int, event_type string, value double, dt long")
     for part in range(2):
