@@ -29,7 +29,7 @@ def holds(p, f):
     return f[1] <= p[1] < f[1] + f[3] and f[2] <= p[2] < f[2] + f[3]
 
 
-@pytest.mark.parametrize("name", ["j12_sliver_suppression"])
+@pytest.mark.parametrize("name", ["j12_sliver_suppression", "j8_host_assignment"])
 def test_grown_sides_are_not_broadcast(spark, name):
     """Catalyst takes exploded rows for as large as the table they came from: 60 times sf0.1 ended on the driver's memory."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
@@ -47,3 +47,11 @@ def test_largest_near_is_within_the_radius(spark):
     for a in spatial.largest_near(d, "side", "name", 20.0).collect():
         near = [b[4] for b in rows if b[1] == a.name and (a.x - b[2]) ** 2 + (a.z - b[3]) ** 2 <= 400]
         assert a.side <= a.near <= max(near)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_first_ring_leaves_out_the_point_s_own(spark, seed):
+    rings, points = world(120, seed)
+    got = {r.id: r.idx for r in spatial.first_ring(spark.createDataFrame(points, "id long, x double, z double"), boxes(spark, rings + rings[:20]), "id", "idx").collect()}
+    want = {p[0]: min(f[0] for f in rings if holds(p, f) and f[0] != p[0]) for p in points if any(holds(p, f) and f[0] != p[0] for f in rings)}
+    assert got == want
