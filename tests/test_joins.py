@@ -29,7 +29,7 @@ def holds(p, f):
     return f[1] <= p[1] < f[1] + f[3] and f[2] <= p[2] < f[2] + f[3]
 
 
-@pytest.mark.parametrize("name", ["j12_sliver_suppression", "j8_host_assignment"])
+@pytest.mark.parametrize("name", ["j12_sliver_suppression", "j8_host_assignment", "j2_containment_minus_excluded"])
 def test_grown_sides_are_not_broadcast(spark, name):
     """Catalyst takes exploded rows for as large as the table they came from: 60 times sf0.1 ended on the driver's memory."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
@@ -67,3 +67,11 @@ def test_hold_apart_is_greedy_in_the_order_of_ids(spark):
     rnd.shuffle(rows)
     got = spatial.hold_apart(spark.createDataFrame(rows, "name string, id long, x double, z double"), 10.0).collect()
     assert len(got) == 300 and sorted(r.id for r in got if r.held) == [k for _, k, _, _ in kept]
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti", "inner"])
+def test_covered_cells_give_the_same_points(spark, how):
+    rings, points = world(60, 7)
+    got = spatial.points_in_rings(spark.createDataFrame(points, "id long, x double, z double"), boxes(spark, rings[:8]), how=how).select("id").collect()
+    want = {"inner": [p[0] for p in points for f in rings[:8] if holds(p, f)], "left_semi": [p[0] for p in points if any(holds(p, f) for f in rings[:8])], "left_anti": [p[0] for p in points if not any(holds(p, f) for f in rings[:8])]}[how]
+    assert sorted(r.id for r in got) == sorted(want)
