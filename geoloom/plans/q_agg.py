@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import colour, rules
 from geoloom.functions.numeric import half_up as r
 from geoloom.operators import aggregates as agg
-from geoloom.operators import grids, spatial
+from geoloom.operators import grids, profiles, spatial
 from geoloom.plans import fixtures as fx
 from geoloom.plans.fixtures import with_
 from geoloom.plans.q_join import CENTRES, IN, centres, feet
@@ -19,9 +19,10 @@ from geoloom.session import materialize
 TALL = f"SELECT f.idx, p.h, (f.idx % 7)::DOUBLE / 2 AS base FROM points p JOIN footprints f ON {IN} AND p.cls = 1"
 
 
-def tall(spark, sf):
-    """Returns in footprints, with a base height."""
-    return spatial.points_in_rings(fx.points(spark, sf).where("cls = 1"), feet(spark, sf)).select("idx", "h", ((F.col("idx") % 7) / 2).alias("base"))
+def returns(spark, sf, finish, schema):
+    """Rows that finish gives for the heights of the returns in each footprint, with its idx and base height."""
+    rings = fx.footprints(spark, sf).select("idx", ((F.col("idx") % 7) / 2).alias("base"), "ring")
+    return profiles.ring_profiles(fx.points(spark, sf).where("cls = 1"), rings, "h", ["idx", "base"], finish, schema)
 
 
 def pct(v: str, q: float, n: str = "len({v})") -> str:
@@ -32,13 +33,17 @@ S = "SELECT idx, list_sort(list(h)) AS v, any_value(base) AS base FROM tall GROU
 QS = {"p50": 0.5, "p75": 0.75, "p98": 0.98}
 
 
-def stats(spark, sf, returns=None):
-    return agg.index_percentiles(returns or tall(spark, sf), ["idx"], "h", QS, F.first("base").alias("base"))
+def percentiles(values, counts, carried):
+    return [(carried[0], int(counts.sum()), *[profiles.percentile(values, counts, q) for q in QS.values()])]
+
+
+def stats(spark, sf):
+    return returns(spark, sf, percentiles, "idx long, n long, p50 double, p75 double, p98 double")
 
 
 @query("a1_index_percentile", with_("points", "footprints", tall=TALL, s=S) + f" SELECT idx, len(v) AS n, {pct('v', .5)} AS p50, {pct('v', .75)} AS p75, {pct('v', .98)} AS p98 FROM s")
 def a1(spark, sf):
-    return stats(spark, sf).drop("base")
+    return stats(spark, sf)
 
 
 @query("a1_histogram_percentile", with_("points", s="SELECT cls, list_sort(list(h)) AS v FROM points GROUP BY cls") + f" SELECT cls, len(v) AS n, {pct('v', .5)} AS p50, {pct('v', .75)} AS p75, {pct('v', .98)} AS p98 FROM s")
@@ -53,13 +58,14 @@ DENSITY = "SELECT idx, max(pair)::DOUBLE / max(n) AS density, CAST(arg_max(bin,
 
 @query("a2_dense_band", with_("points", "footprints", tall=TALL, band=BAND, band2=BAND2, density=DENSITY) + f" SELECT idx, {sq('density')} AS density, bin FROM density")
 def a2(spark, sf):
-    return agg.dense_band(tall(spark, sf), ["idx"], F.col("h") - F.col("base")).select("idx", r(F.col("density"), 4).alias("density"), "bin")
+    band = lambda values, counts, carried: [(carried[0], *profiles.dense_band(values - carried[1], counts))]
+    return returns(spark, sf, band, "idx long, density double, bin long").select("idx", r(F.col("density"), 4).alias("density"), "bin")
 
 
 def roofs(spark, sf):
-    """Percentiles and dense band of one join, which is written once."""
-    returns = materialize(tall(spark, sf), "returns")
-    d = stats(spark, sf, returns).join(agg.dense_band(returns, ["idx"], F.col("h") - F.col("base")), "idx")
+    """Percentiles and dense band of a footprint's returns, and the rule they lead to."""
+    both = lambda values, counts, carried: [(*percentiles(values, counts, carried)[0], carried[1], profiles.dense_band(values - carried[1], counts)[0])]
+    d = returns(spark, sf, both, "idx long, n long, p50 double, p75 double, p98 double, base double, density double")
     return d.withColumn("roof", rules.roof_rule(F.col("p50"), F.col("p75"), F.col("p98"), F.col("density"), F.col("base")))
 
 
@@ -259,7 +265,8 @@ def a30(spark, sf):
 
 @query("f6_statistical_admission", with_("points", "footprints", tall=TALL, s=S) + f" SELECT idx, len(v) AS n, {pct('v', .98)} >= 3 AND len(v) >= 15 AND {pct('v', .75)} - {pct('v', .25)} <= 20 AND idx % 30 <> 0 AS admitted FROM s")
 def f6(spark, sf):
-    d = agg.index_percentiles(tall(spark, sf), ["idx"], "h", {"a": 0.25, "b": 0.75, "h": 0.98})
+    spread = lambda values, counts, carried: [(carried[0], int(counts.sum()), *[profiles.percentile(values, counts, q) for q in (0.25, 0.75, 0.98)])]
+    d = returns(spark, sf, spread, "idx long, n long, a double, b double, h double")
     ok = rules.admissible(F.col("h"), F.col("n"), F.lit(1.0), F.col("b") - F.col("a"), F.col("idx") % 30 == 0, least_n=15, most_spread=20)
     return d.select("idx", "n", ok.alias("admitted"))
 
@@ -320,10 +327,7 @@ def w6(spark, sf):
 
 @query("w7_histogram_peaks", with_("points", "footprints", tall=TALL, b="SELECT idx, CAST(floor(h * 2) AS BIGINT) AS bin, count(*) AS c FROM tall GROUP BY 1, 2") + " SELECT idx, bin, c FROM b WHERE c >= coalesce((SELECT c FROM b x WHERE x.idx = b.idx AND x.bin = b.bin - 1), 0) AND c > coalesce((SELECT c FROM b x WHERE x.idx = b.idx AND x.bin = b.bin + 1), 0)")
 def w7(spark, sf):
-    b = tall(spark, sf).groupBy("idx", F.floor(F.col("h") * 2).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("idx").orderBy("bin")
-    beside = lambda f, k: F.coalesce(F.when(f("bin").over(w) == F.col("bin") + k, f("c").over(w)), F.lit(0))
-    return b.withColumn("lo", beside(F.lag, -1)).withColumn("hi", beside(F.lead, 1)).where("c >= lo AND c > hi").select("idx", "bin", "c")
+    return returns(spark, sf, lambda values, counts, carried: [(carried[0], *p) for p in profiles.peaks(values * 2, counts)], "idx long, bin long, c long")
 
 
 TOPS = """SELECT g.c, g.r, g.v FROM grid g WHERE EXISTS (SELECT 1 FROM grid n WHERE abs(n.c - g.c) <= 2 AND abs(n.r - g.r) <= 2 AND (n.c <> g.c OR n.r <> g.r))
