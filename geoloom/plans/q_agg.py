@@ -34,7 +34,7 @@ QS = {"p50": 0.5, "p75": 0.75, "p98": 0.98}
 
 
 def percentiles(values, counts, carried):
-    return [(carried[0], int(counts.sum()), *[profiles.percentile(values, counts, q) for q in QS.values()])]
+    return [(carried[0], int(counts.sum()), *profiles.percentiles(values, counts, QS.values()))]
 
 
 def stats(spark, sf):
@@ -265,7 +265,7 @@ def a30(spark, sf):
 
 @query("f6_statistical_admission", with_("points", "footprints", tall=TALL, s=S) + f" SELECT idx, len(v) AS n, {pct('v', .98)} >= 3 AND len(v) >= 15 AND {pct('v', .75)} - {pct('v', .25)} <= 20 AND idx % 30 <> 0 AS admitted FROM s")
 def f6(spark, sf):
-    spread = lambda values, counts, carried: [(carried[0], int(counts.sum()), *[profiles.percentile(values, counts, q) for q in (0.25, 0.75, 0.98)])]
+    spread = lambda values, counts, carried: [(carried[0], int(counts.sum()), *profiles.percentiles(values, counts, (0.25, 0.75, 0.98)))]
     d = returns(spark, sf, spread, "idx long, n long, a double, b double, h double")
     ok = rules.admissible(F.col("h"), F.col("n"), F.lit(1.0), F.col("b") - F.col("a"), F.col("idx") % 30 == 0, least_n=15, most_spread=20)
     return d.select("idx", "n", ok.alias("admitted"))
