@@ -50,7 +50,7 @@ def test_counted_roof_levels_equal_listed_ones():
     assert raster.roof_levels(values, 0.5, share=0.15, explained=0.3, tight=0.5, times=times) == raster.roof_levels(z, 0.5, share=0.15, explained=0.3, tight=0.5) != []
 
 
-@pytest.mark.parametrize("name", ["a3_roof_rule", "a1_index_percentile", "a2_dense_band", "a5_stepped_levels", "a4_roof_explained", "f6_statistical_admission", "a6_slab_rule"])
+@pytest.mark.parametrize("name", ["a3_roof_rule", "a1_index_percentile", "a2_dense_band", "a5_stepped_levels", "a4_roof_explained", "f6_statistical_admission", "a6_slab_rule", "w7_histogram_peaks"])
 def test_no_row_for_each_pair(spark, name):
     """Pairs of returns and footprints grow as the square of the tables: 60 times sf0.1 has about 10^10."""
     plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
