@@ -29,7 +29,7 @@ def holds(p, f):
     return f[1] <= p[1] < f[1] + f[3] and f[2] <= p[2] < f[2] + f[3]
 
 
-@pytest.mark.parametrize("name", ["j12_sliver_suppression", "j8_host_assignment", "j2_containment_minus_excluded", "j3_cells_outside_hosts", "j30_building_hit", "t9_zone_placement", "j1_point_in_polygon"])
+@pytest.mark.parametrize("name", ["j12_sliver_suppression", "j8_host_assignment", "j2_containment_minus_excluded", "j3_cells_outside_hosts", "j30_building_hit", "t9_zone_placement", "j1_point_in_polygon", "j11_nested_pad_suppression", "j22_nearest_nodes", "i5_entry_choice"])
 def test_grown_sides_are_not_broadcast(spark, name):
     """Catalyst takes exploded rows for as large as the table they came from: 60 times sf0.1 ended on the driver's memory."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
