@@ -28,6 +28,16 @@ def names_match(a: Column, b: Column, expand: dict[str, str] | None = None) -> C
     return F.coalesce((F.lower(a) == F.lower(b)) | (tokens(a, expand) == tokens(b, expand)), F.lit(False))
 
 
+def match_parts(name: Column, side: str, expand: dict[str, str] | None = None) -> list[Column]:
+    """What names_match compares, as columns of one row, for joins that compare a name with many."""
+    return [F.lower(name).alias(f"{side}_lower"), tokens(name, expand).alias(f"{side}_words")]
+
+
+def parts_match(a: str, b: str) -> Column:
+    """names_match of two rows that have match_parts."""
+    return F.coalesce((F.col(f"{a}_lower") == F.col(f"{b}_lower")) | (F.col(f"{a}_words") == F.col(f"{b}_words")), F.lit(False))
+
+
 def name_similarity(a: Column, b: Column, stop: tuple[str, ...] = ()) -> Column:
     """Shared tokens over the shorter token list; by containment where a side has no tokens left."""
     ta, tb = (F.array_distinct(F.filter(F.split(normalise_name(c, stop), " "), lambda t: t != "")) for c in (a, b))
