@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom import plans
-from geoloom.functions import text
+from geoloom.functions import geometry, text
 from geoloom.operators import spatial
 from tests.conftest import SF
 
@@ -98,3 +98,11 @@ def test_equal_sizes_are_split_once(spark):
     """The shape of a size is split for each size, not for each row."""
     plan = QUERIES["g16_neck_split"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("HashAggregate") > plan.index("ArrowEvalPython")  # the plan lists the last step first
+
+
+def test_box_coverage_equals_that_of_rings(spark):
+    rings, _ = world(12, 9)
+    a = boxes(spark, rings)
+    pairs = a.select("ring").crossJoin(a.select(F.col("ring").alias("other")))
+    got = pairs.select(geometry.coverage(F.col("ring"), F.col("other")).alias("a"), geometry.box_coverage(geometry.bounds(F.col("ring")), geometry.bounds(F.col("other"))).alias("b")).collect()
+    assert len(got) == 144 and all(r.a == r.b for r in got)
