@@ -24,8 +24,9 @@ TRAIN_DOCS = 200
 BLOCK_WORDS = 512
 SEQUENCE_WORDS, EPOCHS, BATCH = 32, 6, 128
 GRAM_BITS, WORD_BITS = 16, 16
-PIECE_BYTES = 2 << 20
-HELD_BYTES = 12 << 20
+#: Text of which emissions are worked out, and labels found, at a time: a worker holds some twenty times the larger.
+PIECE_BYTES = 512 << 10
+HELD_BYTES = 2 << 20
 LABEL, SCORE = "_geoloom_lang", "_geoloom_score"
 
 _LETTERS = np.zeros(256, bool)
@@ -242,7 +243,7 @@ def _predict(shared, text_at: int, keep: list[int]):
                 full = np.flatnonzero(words)
                 if n and len(full):
                     p = forward_backward(np.concatenate(parts), model.trans, first)
-                    share[full] = np.add.reduceat(p.astype(np.float64), first[:-1][full], axis=0) / words[full][:, None]
+                    share[full] = np.add.reduceat(p, first[:-1][full], axis=0, dtype=np.float64) / words[full][:, None]
                 best = share.argmax(1)
                 known = (words > 0) & valid[i:j] & (n > 0)
                 # A word of bytes beyond ASCII alone may hold no letter: look at those documents' characters.
