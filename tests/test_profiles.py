@@ -55,3 +55,30 @@ def test_no_row_for_each_pair(spark, name):
     """Pairs of returns and footprints grow as the square of the tables: 60 times sf0.1 has about 10^10."""
     plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroups" in plan and "Join" not in plan
+
+
+def _levels_one_by_one(up, share, near=1.5, apart=2.0, bin_=0.5):
+    k = np.floor(up / bin_).astype(int)
+    n = {b: int((k == b).sum()) for b in range(k.min() - 1, k.max() + 2)}
+    taken = []
+    for b in sorted((b for b in set(k.tolist()) if n[b] >= n[b - 1] and n[b] > n[b + 1]), key=lambda b: (-n[b], b)):
+        level = (b + 0.5) * bin_
+        part = int((np.abs(up - level) <= near).sum()) / len(up)
+        if part >= share and all(abs(level - t) >= apart for t, _ in taken):
+            taken.append((level, part))
+    return sorted(taken, reverse=True)
+
+
+def test_roof_levels_count_all_peaks_at_once(monkeypatch):
+    """Distances of all samples were taken anew for each peak."""
+    rnd = np.random.default_rng(6)
+    calls, plain = [], np.abs
+    for _ in range(60):
+        z = rnd.integers(0, 1000, int(rnd.integers(1, 200))) / 100
+        want = _levels_one_by_one(z - 0.3, 0.1)
+        monkeypatch.setattr(raster.np, "abs", lambda x: calls.append(1) or plain(x))
+        got = raster.roof_levels(z, 0.3, share=0.1, explained=0.0, tight=0.0)
+        monkeypatch.undo()
+        assert got == want
+        assert len(calls) <= len(got)
+        calls.clear()
