@@ -7,6 +7,7 @@ import pytest
 
 from geoloom import plans
 from geoloom.operators import spatial, tiles
+from tests.conftest import SF
 from tests.test_profiles import _odd
 
 QUERIES = plans.queries()
@@ -75,3 +76,8 @@ def test_hosts_are_found_without_rows_for_cells(spark, monkeypatch):
     monkeypatch.setattr(spatial, "within_distance", lambda a, b, *c, **d: seen.append((a.count(), b.count())) or plain(a, b, *c, **d))
     QUERIES["j8_host_assignment"](spark, "/root/testdata/sf0.01")
     assert not made and seen[0][1] < seen[0][0]
+
+
+def test_points_in_polygons_have_no_row_for_pairs_that_fail(spark):
+    plan = QUERIES["j1_point_in_polygon"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
