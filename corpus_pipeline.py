@@ -20,8 +20,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written so that it stays; ids may repeat, so they can't name rows."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+    """docs with a number for each row, written so that it stays; ids may repeat, so they can't name rows.
+
+    It is a second copy of all texts on disk, so it is packed well.
+    """
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows", compression="zstd")
 
 
 def _first_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from geoloom.llm.components import connected_components
 from geoloom.llm.exchange import Chunk, bucket_bits, chunked, chunks_of, received, send, split, spread, squeeze, unsqueeze
 from geoloom.llm.kernels import NOT_SPACE, U64, Words, distinct, grams, mix, release, text_arrays
-from geoloom.session import discard, materialize, ship_package
+from geoloom.session import discard, forget_shuffles, materialize, ship_package
 
 SHINGLE_WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -219,7 +219,7 @@ def _choose(bits: int, k: int, secret: bytes):
             for d in distinct(doc).tolist():
                 own = s.of(d)
                 bits_ = sketch(own)
-                rows.append((None, base + d, len(own), bits_.tobytes(), fold(bits_, SKETCH_WORDS).tobytes(), own.tobytes()))
+                rows.append((None, base + d, len(own), bits_.tobytes(), fold(bits_, folded_words(len(own))).tobytes(), own.tobytes()))
             out.append(pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _CHOSEN)] if rows else [pa.array([], f.type) for f in _CHOSEN], schema=_CHOSEN))
         release()
         return pa.concat_tables(out) if out else _CHOSEN.empty_table()
@@ -239,6 +239,11 @@ def fold(words: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
 
 
+def folded_words(n: int) -> int:
+    """Words of a folded sketch: half of its bits, the distance of sets that share nothing, are more than a link of n shingles may differ in."""
+    return max(SKETCH_WORDS, 1 << (-(-n * 11 // 20) // 64).bit_length())
+
+
 def may_link(n: int, words: np.ndarray, others_n: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Which of the others' sketches (rows of equal width) don't rule out a link."""
     distance = np.bitwise_count(others ^ words).sum(1, dtype=np.int64)
@@ -266,9 +271,18 @@ def _cross_pairs(batches):
     """
     names = ("key", "i", "j", "part", "row", "label", "n", "rare")
 
-    def compare(cols, words):
+    def folded_to(size, words, width):
+        """The sketches of at least so many words folded to these, a row for each; other rows are zero."""
+        out, start = np.zeros((len(width), size), U64), np.cumsum(width) - width
+        for w in np.unique(width[width >= size]).tolist():
+            rows = np.flatnonzero(width == w)
+            out[rows] = np.bitwise_xor.reduce(words[start[rows][:, None] + np.arange(w)].reshape(len(rows), -1, size), axis=1)
+        return out
+
+    def compare(cols, words, width):
         key, i, j, part, row, label, n, rare = cols
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        levels = {w: folded_to(w, words, width) for w in np.unique(np.append(width, SKETCH_WORDS)).tolist()}
         left, step = np.arange(len(key)), 1
         while True:
             left = left[left + step < len(key)]
@@ -284,23 +298,28 @@ def _cross_pairs(batches):
             ok = np.minimum(n[x], n[y]) * 100 >= PERCENT * np.maximum(n[x], n[y])
             ok &= ((rare[x] > 0) | (n[x] > n[y])) & ((rare[y] > 0) | (n[y] > n[x]))
             x, y = x[ok], y[ok]
-            ok = np.bitwise_count(words[x] ^ words[y]).sum(1, dtype=np.int64) <= most_different(n[x], n[y])
+            common = np.minimum(width[x], width[y])
+            ok = np.zeros(len(x), bool)
+            for w in np.unique(common).tolist():
+                k = np.flatnonzero(common == w)
+                ok[k] = np.bitwise_count(levels[w][x[k]] ^ levels[w][y[k]]).sum(1, dtype=np.int64) <= most_different(n[x[k]], n[y[k]])
             a.append(np.minimum(row[x[ok]], row[y[ok]]))
             b.append(np.maximum(row[x[ok]], row[y[ok]]))
             step += 1
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    held, held_words = [np.zeros(0, np.int64)] * len(names), np.zeros((0, SKETCH_WORDS), U64)
+    held, held_words, held_width = [np.zeros(0, np.int64)] * len(names), np.zeros(0, U64), np.zeros(0, np.int64)
     for batch in batches:
         cols = [np.concatenate([h, np.asarray(batch.column(c)).astype(np.int64)]) for h, c in zip(held, names)]
-        data, starts, _, _ = text_arrays(batch.column("folded"))
-        new = data[starts[0] : starts[0] + 8 * SKETCH_WORDS * len(starts)].view(np.uint8).tobytes() if len(starts) else b""
-        words = np.concatenate([held_words, np.frombuffer(new, U64).reshape(-1, SKETCH_WORDS)])
+        data, starts, ends, _ = text_arrays(batch.column("folded"))
+        new = data[starts[0] : ends[-1]].tobytes() if len(starts) else b""
+        words, width = np.concatenate([held_words, np.frombuffer(new, U64)]), np.concatenate([held_width, (ends - starts) // 8])
         before = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1])) if len(cols[0]) else []
         cut = int(before[-1]) + 1 if len(before) else 0
-        yield compare([c[:cut] for c in cols], words[:cut])
-        held, held_words = [c[cut:] for c in cols], words[cut:]
-    yield compare(held, held_words)
+        at = int(width[:cut].sum())
+        yield compare([c[:cut] for c in cols], words[:at], width[:cut])
+        held, held_words, held_width = [c[cut:] for c in cols], words[at:], width[cut:]
+    yield compare(held, held_words, held_width)
     release()
 
 
@@ -406,6 +425,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(described)
     chosen = materialize(chunks.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInArrow(_choose(bits, shingle_words, secret), "key long, row long, n long, sketch binary, folded binary, set binary"), "lanes")
     discard(chunks, often)
+    forget_shuffles(spark)
     sets = chosen.where("set IS NOT NULL").drop("key")
     only = sets.select("row", "set")
     met = chosen.where("key IS NOT NULL").select("key", "row").join(copies, "row", "left").select("key", F.coalesce("rep", "row").alias("row")).distinct()
@@ -417,6 +437,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stars.join(sketches("b", "nb", "sb"), "b").where(F.col("nb") > 0).join(sketches("a", "na", "sa"), "a")
     stars = materialize(stars.mapInArrow(_pairs_that_may_link, "a long, b long"), "hopeful")
     linked_ = _links(stars, only, "stars")
+    forget_shuffles(spark)
     label = connected_components(linked_)
     # Second round: what a group still has in different components. Every link there joins two of them.
     labelled = materialize(members.select("key", "row").join(label.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("label", "row").alias("label")), "labelled")
@@ -426,8 +447,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = labelled.join(open_.where(F.col("size") <= BLOCK_ROWS), "key").select("key", "row", "label", F.lit(1).alias("rare"))
     hot = materialize(labelled.join(open_.where(F.col("size") > BLOCK_ROWS), "key").select("row", "label").distinct(), "hot")
     cross = _cross(small, sets).unionByName(_cross(_by_rare_shingles(hot, only), sets)).distinct()
+    # Written first: Catalyst would move the join below distinct(), to a row for each lane that a pair has in common.
+    cross = materialize(cross, "cross-pairs")
     crossing = materialize(cross.join(stars, ["a", "b"], "left_anti"), "crossing")
+    discard(cross)
+    forget_shuffles(spark)
     more = _links(crossing, only, "cross")
+    forget_shuffles(spark)
     edges = linked_.unionByName(more).unionByName(copies.select(F.col("row").alias("a"), F.col("rep").alias("b")).where("a <> b"))
     label = connected_components(edges)
     discard(chosen, stars, labelled, open_, hot, crossing, linked_, more, copies)
