@@ -14,9 +14,11 @@ distance is a lower bound too. The shingle sets verify what is left.
 
 A group of equal lanes may be huge. Its pairs are never listed: members are checked against the
 group's first document, linked ones contract into components, and only members of different
-components are compared further. A group of many members that don't link (one template, filled in
-differently) is split by rare shingles: two documents that link share one of the rarest of either,
-how many being given by their sizes, and so they only meet at these.
+components are compared further, without the first, whose pairs are settled. Documents that share
+many lanes meet in a group for each; they become a pair in the first of these by key, as either
+carries the smallest keys at which it meets others. A group of many members that don't link (one
+template, filled in differently) is split by rare shingles: two documents that link share one of the
+rarest of either, how many being given by their sizes, and so they only meet at these.
 
 Shingles are told apart by 64-bit and equal sets by 128-bit digests made of keyed word digests; the
 key is drawn for each run, so no text can be made to collide.
@@ -48,6 +50,8 @@ SALTED = 128
 #: Members of a group that are compared in one task at most; a larger group is dealt out in pairs of blocks.
 BLOCK_ROWS = 1024
 SKETCH_WORDS = 8
+#: Of the groups that a row is in, so many with the smallest keys go with it, for a pair to be listed in its first group only.
+SEEN = 16
 ROW_BITS = 20  # a row number is its chunk's number and its place in the chunk
 
 
@@ -263,10 +267,28 @@ def _pairs_that_may_link(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _seen(batch) -> np.ndarray:
+    """The keys in column seen, SEEN for each row; the largest integer where there are fewer, or no such column."""
+    out = np.full((batch.num_rows, SEEN), np.iinfo(np.int64).max)
+    if "seen" in batch.schema.names:
+        col = batch.column("seen")
+        count = np.asarray(col.value_lengths().fill_null(0)).astype(np.int64)
+        out[np.arange(SEEN) < count[:, None]] = np.asarray(col.flatten())
+    return out
+
+
+def _met_before(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs in groups key: whether the groups seen by their rows a and b have a smaller one in common."""
+    out = np.zeros(len(key), bool)
+    for c in range(SEEN):
+        out |= (a[:, c] < key) & (b == a[:, c, None]).any(1)
+    return out
+
+
 def _cross_pairs(batches):
     """Pairs of different components in a pair of blocks of a group whose folded sketches don't rule a link out.
 
-    Rows come sorted by group and pair of blocks; all of a batch are compared at once, each row with
+    Of a pair's groups, all but the first leave it out, where the keys seen by its rows show that. Rows come sorted by group and pair of blocks; all of a batch are compared at once, each row with
     the one so many places further on. A batch's last pair of blocks waits for the next batch.
     """
     names = ("key", "i", "j", "part", "row", "label", "n", "rare")
@@ -279,7 +301,7 @@ def _cross_pairs(batches):
             out[rows] = np.bitwise_xor.reduce(words[start[rows][:, None] + np.arange(w)].reshape(len(rows), -1, size), axis=1)
         return out
 
-    def compare(cols, words, width):
+    def compare(cols, words, width, seen):
         key, i, j, part, row, label, n, rare = cols
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         levels = {w: folded_to(w, words, width) for w in np.unique(np.append(width, SKETCH_WORDS)).tolist()}
@@ -303,23 +325,26 @@ def _cross_pairs(batches):
             for w in np.unique(common).tolist():
                 k = np.flatnonzero(common == w)
                 ok[k] = np.bitwise_count(levels[w][x[k]] ^ levels[w][y[k]]).sum(1, dtype=np.int64) <= most_different(n[x[k]], n[y[k]])
+            x, y = x[ok], y[ok]
+            ok = ~_met_before(key[x], seen[x], seen[y])
             a.append(np.minimum(row[x[ok]], row[y[ok]]))
             b.append(np.maximum(row[x[ok]], row[y[ok]]))
             step += 1
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    held, held_words, held_width = [np.zeros(0, np.int64)] * len(names), np.zeros(0, U64), np.zeros(0, np.int64)
+    held, held_words, held_width, held_seen = [np.zeros(0, np.int64)] * len(names), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros((0, SEEN), np.int64)
     for batch in batches:
         cols = [np.concatenate([h, np.asarray(batch.column(c)).astype(np.int64)]) for h, c in zip(held, names)]
         data, starts, ends, _ = text_arrays(batch.column("folded"))
         new = data[starts[0] : ends[-1]].tobytes() if len(starts) else b""
         words, width = np.concatenate([held_words, np.frombuffer(new, U64)]), np.concatenate([held_width, (ends - starts) // 8])
+        seen = np.concatenate([held_seen, _seen(batch)])
         before = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1])) if len(cols[0]) else []
         cut = int(before[-1]) + 1 if len(before) else 0
         at = int(width[:cut].sum())
-        yield compare([c[:cut] for c in cols], words[:at], width[:cut])
-        held, held_words, held_width = [c[cut:] for c in cols], words[at:], width[cut:]
-    yield compare(held, held_words, held_width)
+        yield compare([c[:cut] for c in cols], words[:at], width[:cut], seen[:cut])
+        held, held_words, held_width, held_seen = [c[cut:] for c in cols], words[at:], width[cut:], seen[cut:]
+    yield compare(held, held_words, held_width, held_seen)
     release()
 
 
@@ -327,7 +352,8 @@ def _cross(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of members (key, row, label, rare) of one key and different labels that may link.
 
     The rows of a key's largest label, T, and the others, O, are cut into blocks; tasks get pairs of
-    blocks, T with O and O with O. A key whose rows fit in one block is one pair.
+    blocks, T with O and O with O. A key whose rows fit in one block is one pair. Two rows are compared
+    at each key that is rare for both, so a pair may be left out where they have seen a smaller one.
     """
     counts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.max("rare").alias("rare"))
     tops = counts.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("top"), F.max("size").alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("labels"), F.max("rare").alias("any"))
@@ -342,7 +368,8 @@ def _cross(members: DataFrame, sets: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.transform(F.sequence(F.lit(1), F.col("ts")), lambda t: pair(-t, F.col("part"))), F.transform(others, lambda o: pair(F.least(o, F.col("part")), F.greatest(o, F.col("part"))))))
     )
     dealt = members.join(tops, "key").withColumn("part", part).select("key", "row", "label", "rare", "part", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "part", "row", "label", "rare")
-    dealt = dealt.join(sets.select("row", "n", "folded"), "row").select("key", "i", "j", "part", "row", "label", "n", "rare", "folded")
+    seen = members.where("rare > 0").groupBy("row").agg(F.slice(F.sort_array(F.collect_list("key")), 1, SEEN).alias("seen"))
+    dealt = dealt.join(sets.select("row", "n", "folded"), "row").join(seen, "row", "left").select("key", "i", "j", "part", "row", "label", "n", "rare", "folded", "seen")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross_pairs, "a long, b long").distinct()
 
 
@@ -439,8 +466,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked_ = _links(stars, only, "stars")
     forget_shuffles(spark)
     label = connected_components(linked_)
-    # Second round: what a group still has in different components. Every link there joins two of them.
-    labelled = materialize(members.select("key", "row").join(label.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("label", "row").alias("label")), "labelled")
+    # Second round: what a group still has in different components, but for its first document. Every link there joins two of them.
+    labelled = materialize(members.where("row > first").select("key", "row").join(label.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("label", "row").alias("label")), "labelled")
     discard(members, label)
     open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key", "size")
     open_ = materialize(open_, "open")
