@@ -81,3 +81,43 @@ def test_hosts_are_found_without_rows_for_cells(spark, monkeypatch):
 def test_points_in_polygons_have_no_row_for_pairs_that_fail(spark):
     plan = QUERIES["j1_point_in_polygon"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_points_travel_packed(spark):
+    """A point was a row of sixteen columns in shuffle and sort, about 40 bytes after compression."""
+    from pathlib import Path
+
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    points = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
+    before = files()
+    held = QUERIES["j1_point_in_polygon"](spark, "/root/testdata/sf0.01")
+    held.write.format("noop").mode("overwrite").save()
+    sizes = [f.stat().st_size for f in files() - before]
+    assert 0 < sum(sizes) < 30 * points
+
+
+def test_blocks_hold_each_pair_once_and_stay_small():
+    """Many points at one spot under many rings: a row of all of them would become more rows than a task can hold."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(5)
+    x0, z0 = rnd.integers(-20, 20, 900) / 1.0, rnd.integers(-20, 20, 900) / 1.0
+    w = rnd.choice([3.0, 30.0, 60.0], 900)
+    shape = [f"[[{a},{b}],[{a + c},{b}],[{a},{b + c}]]" if k % 9 == 0 else None for k, (a, b, c) in enumerate(zip(x0, z0, w))]
+    sides = dict(zip(tiles._SIDES, (x0, z0, x0 + w, z0 + w)))
+    rings = tiles._Rings([pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in sides.items()} | {"_key": pa.array(np.arange(900) * 3), "_ring": pa.array(shape, pa.string())})])
+    x, z = np.append(np.full(3000, 7.0), rnd.integers(-40, 64, 2000) / 2), np.append(np.full(3000, 7.0), rnd.integers(-40, 64, 2000) / 2)
+    x[10], z[20], x[30] = np.nan, np.nan, np.inf
+    got, shared = [], 0
+    for place, sizes, keys, counts in tiles._blocks(rings, x, z):
+        assert (sizes * counts).max(initial=0) <= tiles.ROWS and sizes.sum() == len(place) and counts.sum() == len(keys)
+        shared += int((sizes * counts)[sizes > 1].sum())
+        p, k = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(counts))
+        for i in range(len(sizes)):
+            got.append((np.repeat(place[p[i] : p[i + 1]], counts[i]), np.tile(keys[k[i] : k[i + 1]], sizes[i])))
+    hit = rings.hold(x, z, 0, 900)
+    want = np.nonzero(hit)
+    got = np.array([np.concatenate(c) for c in zip(*got)])
+    assert got.shape[1] == len(want[0]) and shared > got.shape[1] / 2
+    assert (got[:, np.lexsort((got[1], got[0]))] == np.array([want[0], rings.key[want[1]]])).all()
